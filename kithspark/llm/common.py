@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ MASK = (1 << 64) - 1
 #: Odd 64-bit multipliers of the mixing functions (those of splitmix64 and its increment).
 MIX_A, MIX_B, MIX_C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
+_shipped: set[str] = set()
 _written: dict[str, SparkSession] = {}
 
 
@@ -58,8 +61,23 @@ def drop_scratch() -> None:
 atexit.register(drop_scratch)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that it needn't be installed there."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        at = Path(tempfile.mkdtemp(prefix="kithspark-")) / "kithspark.zip"
+        top = Path(__file__).resolve().parent.parent
+        with zipfile.ZipFile(at, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        spark.sparkContext.addPyFile(str(at))
+        _shipped.add(app)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts stay small, unless the session asks for another size."""
+    """For an operator with Python code: the code is sent along, and Arrow batches of whole texts stay small, unless
+    the session asks for another size."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

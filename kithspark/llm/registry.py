@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithspark.llm import decontaminate, fingerprint, html_extract, language_id, packing, token_counts
+from kithspark.llm import chat_format, decontaminate, fingerprint, html_extract, jaccard_join, language_id, license_scan, line_dedup, packing, token_counts
 from kithspark.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_removed", "text")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -49,6 +53,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.pair_neighbours(table(spark, sf_dir, "conversations")).withColumnRenamed("pair", "pair_id")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -75,9 +91,90 @@ FROM doc LEFT JOIN hit ON doc.doc_id = hit.doc_id LEFT JOIN found ON doc.doc_id
 """
 
 
+OP8_SQL = r"""
+WITH t AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 = 1 AS rejected, replace(coalesce(role, ''), '<|', '< |') AS role,
+         replace(coalesce(text, ''), '<|', '< |') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, rejected ORDER BY turn, role, text) AS i FROM t),
+c AS (SELECT * FROM r WHERE NOT rejected), j AS (SELECT * FROM r WHERE rejected),
+pair AS (SELECT DISTINCT c.pair_id FROM c SEMI JOIN j USING (pair_id)),
+other AS (
+  SELECT coalesce(c.pair_id, j.pair_id) AS pair_id, min(coalesce(c.i, j.i)) AS i
+  FROM c FULL JOIN j ON c.pair_id = j.pair_id AND c.i = j.i
+  WHERE (c.role = j.role AND c.text = j.text) IS NOT TRUE GROUP BY 1),
+longest AS (SELECT pair_id, count(*) AS n FROM c GROUP BY pair_id),
+prefix AS (SELECT pair_id, coalesce(o.i - 1, n) AS n FROM pair JOIN longest USING (pair_id) LEFT JOIN other o USING (pair_id)),
+piece AS (
+  SELECT r.pair_id, rejected, r.i, n, role, text, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS s
+  FROM r JOIN prefix USING (pair_id)),
+placed AS (
+  SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY pair_id, rejected, i > n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+         + 13 + length(role) AS lo FROM piece),
+done AS (
+  SELECT pair_id, n,
+    string_agg(s, '' ORDER BY i) FILTER (WHERE NOT rejected AND i <= n) AS prompt,
+    string_agg(s, '' ORDER BY i) FILTER (WHERE NOT rejected AND i > n) AS chosen,
+    string_agg(s, '' ORDER BY i) FILTER (WHERE rejected AND i > n) AS rejected_text,
+    string_agg(lo || '-' || (lo + length(text) + 10), ',' ORDER BY i) FILTER (WHERE NOT rejected AND i > n AND role = 'assistant') AS chosen_spans,
+    string_agg(lo || '-' || (lo + length(text) + 10), ',' ORDER BY i) FILTER (WHERE rejected AND i > n AND role = 'assistant') AS rejected_spans
+  FROM placed GROUP BY pair_id, n)
+SELECT pair_id, CAST(n AS BIGINT) AS n_prompt_turns, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen,
+       coalesce(rejected_text, '') AS rejected, coalesce(chosen_spans, '') AS chosen_spans, coalesce(rejected_spans, '') AS rejected_spans
+FROM done
+"""
+
+
+def op9_sql() -> str:
+    """Exact containment in every window, without bands or anchors; the templates are values of the statement."""
+    rows = []
+    for width, stride, own in license_scan.classes(license_scan.TEMPLATES):
+        size = min(license_scan.SHINGLE, min(map(len, own.values())))
+        for name, tokens in own.items():
+            parts = list(dict.fromkeys(" ".join(tokens[i : i + size]) for i in range(len(tokens) - size + 1)))
+            rows.append(f"('{name}', {width}, {stride}, {size}, [{', '.join(repr(p) for p in parts)}])")
+    return f"""
+WITH template(license, width, stride, size, parts) AS (VALUES {', '.join(rows)}),
+doc AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS words FROM documents),
+shingle AS (
+  SELECT doc_id, size, i, array_to_string(words[i : i + size - 1], ' ') AS s, greatest(len(words) - size + 1, 1) AS n
+  FROM (SELECT doc_id, words, size, unnest(range(1, greatest(len(words) - size + 1, 1) + 1)) AS i
+        FROM doc, (SELECT DISTINCT size FROM template) WHERE len(words) > 0)),
+part AS (SELECT license, width, stride, size, unnest(parts) AS s, len(parts) AS total FROM template),
+met AS (
+  SELECT doc_id, license, s, total, unnest(range(greatest(0, (i - (width - size + 1) + stride - 1) // stride), (i - 1) // stride + 1)) AS w
+  FROM shingle JOIN part USING (size, s)),
+share AS (SELECT doc_id, license, w, count(DISTINCT s) / CAST(any_value(total) AS DOUBLE) AS c FROM met GROUP BY doc_id, license, w)
+SELECT doc_id, license, max(c) AS containment, count(*) AS n_windows FROM share WHERE c >= {license_scan.LEAST} GROUP BY doc_id, license
+"""
+
+
+OP10_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 2], ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS i FROM doc WHERE len(words) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (
+  SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (
+  SELECT a, b FROM edge UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.other)
+SELECT doc.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, least(doc.doc_id, coalesce(min(other), doc.doc_id)) AS component_id
+FROM doc LEFT JOIN size ON size.doc_id = doc.doc_id LEFT JOIN reach ON reach.doc_id = doc.doc_id GROUP BY doc.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_fingerprint, op3_html_extract, op5_token_counts, op6_pack, op7_language_id)}
+    return {
+        f.__name__: f
+        for f in (op1_decontaminate, op2_fingerprint, op3_html_extract, op4_line_dedup, op5_token_counts, op6_pack, op7_language_id, op8_chat_format, op9_license_scan, op10_jaccard_join)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op8_chat_format": OP8_SQL, "op9_license_scan": op9_sql(), "op10_jaccard_join": OP10_SQL}
