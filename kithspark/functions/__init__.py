@@ -1 +1 @@
-"""Functions of the record-linkage engine."""
+"""Column functions of the record-linkage engine."""
