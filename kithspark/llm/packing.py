@@ -10,7 +10,7 @@
 3. A piece's rank among those of its length is a row number within (length, salt) plus the count of lower salts, so
    that a length with a third of all rows is spread; slots are looked up by rank.
 
-Pre-tokens' ids are kept in a bounded table per Python worker. A text outside the alphabet for which the pre-token
+The ids of what stands between spaces are kept in a bounded table per Python worker. A text outside the alphabet for which the pre-token
 pattern below is exact, or with a special token's string, is encoded by the library as a whole.
 """
 
@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +29,14 @@ from pyspark.sql import functions as F
 
 from kithspark.llm.common import CACHE_ENTRIES, cut, small_batches
 
-#: Characters whose class, case and normal form need no tables: printable ASCII, line breaks, tabs, Latin letters.
-_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ɏ]*")
+#: Characters whose class, case and normal form need no tables: printable ASCII and Latin letters.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ɏ]*")
 #: The pre-token pattern of the vocabulary over those characters, after lower-casing.
 _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\sa-zß-öø-ɏ0-9]+")
+#: Bytes as the characters that byte-level vocabularies write for them: the printable ones of Latin-1 stand for
+#: themselves, the others follow from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_WRITTEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _encoders: dict[str, WordEncoder] = {}
 PIECES = "doc bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -51,27 +55,56 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = tuple(t["content"] for t in spec["added_tokens"])
-        pattern = spec["pre_tokenizer"].get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        self.merges = self.model.model
+        steps = spec["pre_tokenizer"].get("pretokenizers", [{}])
+        pattern = steps[0].get("pattern", {}).get("Regex") if [s.get("type") for s in steps] == ["Split", "ByteLevel"] else None
         self.by_word = pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and spec["post_processor"] is None
-        self.ids: dict[str, bytes] = {}
+        self.chunks = ChunkIds(self)
 
     def encode(self, texts: list[str], end: bytes) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text, then end."""
-        plain = [self.by_word and bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
-        words = [_PRETOKEN.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
-        if len(self.ids) > CACHE_ENTRIES:
-            self.ids.clear()
-        unseen = list(set(chain.from_iterable(words)) - self.ids.keys())
-        if unseen:
-            self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(unseen, self.model.encode_batch(unseen, add_special_tokens=False), strict=True))
-        ids = self.ids
-        out = []
-        for text, p, own in zip(texts, plain, words, strict=True):
-            raw = b"".join(map(ids.__getitem__, own)) if p else np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        chunks, out = self.chunks, []
+        chunks.trim()
+        for text in texts:
+            chunks.odd = not self.by_word
+            raw = b""
+            if not chunks.odd:
+                raw = b"".join(map(chunks.__getitem__, text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+            if chunks.odd:
+                raw = np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             out.append(np.frombuffer(raw + end, "<u4"))
         return out
 
 
+class ChunkIds(dict):
+    """Ids of what stands between spaces, from the ids of its pre-tokens; both are kept, in bounds.
+
+    A chunk with other characters than _PLAIN or with a special token's string sets odd and isn't kept.
+    """
+
+    def __init__(self, encoder: WordEncoder):
+        self.encoder, self.words, self.odd = encoder, {}, False
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not _PLAIN.fullmatch(chunk) or any(s in chunk for s in self.encoder.special):
+            self.odd = True
+            return b""
+        parts = []
+        for word in _PRETOKEN.findall(chunk):
+            ids = self.words.get(word)
+            if ids is None:
+                written = word if word.isascii() else word.encode().decode("latin-1").translate(_WRITTEN)
+                self.words[word] = ids = struct.pack(f"<{len(t := self.encoder.merges.tokenize(written))}I", *[x.id for x in t])
+            parts.append(ids)
+        self[chunk] = out = b"".join(parts)
+        return out
+
+    def trim(self) -> None:
+        for kept in (self, self.words):
+            if len(kept) > CACHE_ENTRIES:
+                kept.clear()
+
+
 def _encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
