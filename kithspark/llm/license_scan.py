@@ -37,7 +37,7 @@ TEMPLATES = {
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 #: Words of which one or more stand in over a fifth of every template's shingles.
-ANCHORS = ("license", "licensed", "copyright", "permission", "warranty", "redistribution", "redistributions", "software")
+ANCHORS = ("license", "licensed", "copyright", "permission", "warranty", "redistribution", "redistributions", "software", "mozilla")
 
 
 def words(text: str) -> list[str]:
