@@ -1,13 +1,16 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+ROOT = Path(__file__).resolve().parent.parent
+sys.path.insert(0, str(ROOT))
+os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"  # for Python workers
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from kithspark.session import get_spark
 
     session = get_spark("local[4]", 4, "4g")
