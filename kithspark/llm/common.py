@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Upper and lower bounds of what a Python worker keeps between batches.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 #: Rows in an Arrow batch; whole texts ride in the batches, so a few hundred rows are megabytes.
 BATCH_ROWS = 400
 MASK = (1 << 64) - 1
@@ -38,9 +38,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is computed once."""
+def few_files(df: DataFrame, merge: int = 32) -> DataFrame:
+    """df, rows after a shuffle that are light beside the texts, with up to `merge` partitions in one, but one per core at
+    least: where AQE doesn't merge small partitions, each would be a file of a few rows. The number grows with the cluster
+    and with the partitions that the session asks for."""
     spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // merge))
+
+
+def cut(df: DataFrame, merge: int = 0) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is computed once.
+
+    merge: see few_files().
+    """
+    spark = df.sparkSession
+    if merge:
+        df = few_files(df, merge)
     at = f"{scratch_dir(spark)}/kithspark/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     _written[at] = spark

@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     neighbours is pre-aggregated and its join split by AQE. The number of steps grows with the logarithm of the longest
     path. Loops (a = b) make a component of their own; repeated edges count once.
     """
-    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), merge=32)
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u")
         small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small.filter("u >= v"))
+        now = cut(small.filter("u >= v"), merge=32)
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen:
             break

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kithspark.llm.common import MIX_A, MIX_B, MIX_C, WordHashes, as_bytes, cut, mix, shingle_hashes, small_batches
+from kithspark.llm.common import MIX_A, MIX_B, MIX_C, WordHashes, as_bytes, cut, few_files, mix, shingle_hashes, small_batches
 from kithspark.llm.components import connected_components
 
 BLOCK = 512
@@ -229,13 +229,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     signed = cut(_signatures(docs, id_col, text_col, k, percent))
     members = signed.filter("own").select("id", "s", "n")
-    nodes = cut(signed.filter("tile >= 0").groupBy("s", "tile").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
+    nodes = cut(signed.filter("tile >= 0").groupBy("s", "tile").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), merge=8)
     light = nodes.select("s", "tile", "n", "bits")
     w = Window.partitionBy("key")
     groups = nodes.select("s", "tile", F.explode("keys").alias("key")).withColumns({"lo": F.min("s").over(w), "hi": F.max("s").over(w)})
-    groups = cut(groups.filter("lo < hi").select("key", "tile", "s", F.col("lo").alias("pivot")))
+    groups = cut(groups.filter("lo < hi").select("key", "tile", "s", F.col("lo").alias("pivot")), merge=8)
 
-    needed = cut(members.join(groups.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min("id").alias("rep")))
+    needed = cut(members.join(groups.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min("id").alias("rep")), merge=32)
     reps = needed.select(F.col("rep").alias("__rep")).distinct()
     reps = F.broadcast(reps) if needed.count() <= BROADCAST_IDS else reps
 
@@ -246,27 +246,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     texts = texts.join(reps, F.col("__id").eqNullSafe(F.col("__rep")), "left_semi").select("__text")
-    sets = cut(texts.mapInArrow(arrays, "s bigint, hashes binary").groupBy("s").agg(F.first("hashes").alias("hashes")))
+    sets = cut(texts.mapInArrow(arrays, "s bigint, hashes binary").groupBy("s").agg(F.first("hashes").alias("hashes")), merge=8)
 
     one, two = (light.select(F.col("s").alias(x), "tile", F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in ("a", "b"))
     pivots = groups.filter("s <> pivot").select(F.col("pivot").alias("a"), F.col("s").alias("b"), "tile").distinct()
     pivots = pivots.join(one, ["a", "tile"]).join(two, ["b", "tile"]).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     first = _near_first(pivots, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    tried = cut(first)
-    links = cut(_verify(tried, sets, percent))
+    tried = cut(first, merge=32)
+    links = cut(_verify(tried, sets, percent), merge=32)
     roots = None
     for nearest in (4, None):
-        roots = cut(connected_components(links))
-        pairs = cut(_tile_pairs(groups, roots, light, percent, nearest).join(tried, ["a", "b"], "left_anti"))
+        roots = cut(connected_components(links), merge=32)
+        pairs = cut(_tile_pairs(groups, roots, light, percent, nearest).join(tried, ["a", "b"], "left_anti"), merge=32)
         tried = tried.unionByName(pairs)
-        links = links.unionByName(cut(_verify(pairs, sets, percent)))
+        links = links.unionByName(cut(_verify(pairs, sets, percent), merge=32))
     roots = connected_components(links)
 
     least = members.filter("n > 0").groupBy("s").agg(F.min("id").alias("least"))
     least = least.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").select("s", "least", F.coalesce("root", "s").alias("root"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
     named = least.join(of_root, "root").select("s", "component_id")
-    out = members.join(named, "s", "left")
+    out = few_files(members.join(named, "s", "left"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
 
 

@@ -85,7 +85,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that is a later copy as a whole becomes "". Null stays null. Rows with the same id and text are one document, which
     keeps what is its own in each row; a null id comes before all others. An empty table gives no rows.
     """
-    runs = cut(repeated_runs(docs, id_col, text_col, min_gram, min_run)).withColumnsRenamed({"id": "__id", "th": "__th", "runs": "__runs"})
+    runs = cut(repeated_runs(docs, id_col, text_col, min_gram, min_run), merge=32).withColumnsRenamed({"id": "__id", "th": "__th", "runs": "__runs"})
     if (runs.agg(F.sum(F.size("__runs"))).first()[0] or 0) <= BROADCAST_RUNS:
         runs = F.broadcast(runs)
     text = F.coalesce(docs[text_col], F.lit(""))

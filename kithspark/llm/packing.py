@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kithspark.llm.common import CACHE_ENTRIES, cut, small_batches
+from kithspark.llm.common import CACHE_ENTRIES, cut, few_files, small_batches
 
 #: Characters whose class, case and normal form need no tables: printable ASCII and Latin letters.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ɏ]*")
@@ -244,4 +244,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     names = own.columns
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc", "piece", "ids_crc32")).cast("bigint"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + ", sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(run, schema).withColumnRenamed("doc", id_col)
+    return few_files(ranked).mapInArrow(run, schema).withColumnRenamed("doc", id_col)
