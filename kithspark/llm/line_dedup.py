@@ -92,9 +92,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumn("__h", F.xxhash64(text))
     rows = rows.join(runs, rows[id_col].eqNullSafe(runs["__id"]) & (rows["__h"] == runs["__th"]), "left")
     gone = F.array_distinct(F.flatten(F.transform("__runs", lambda r: F.sequence(r["lo"], r["hi"]))))
-    rows = rows.withColumns({"__gone": gone, "__lines": F.when(F.col("__runs").isNotNull(), lines_of(text))})
-    left = F.array_except(F.sequence(F.lit(1), F.size("__lines")), F.col("__gone"))
-    clean = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i - 1)), ""))
+    rows = rows.withColumn("__gone", gone)
+
+    def without(lines):  # lines is bound once per row, wherever Catalyst moves the expression
+        left = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col("__gone"))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i - 1)), "")
+
+    clean = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.get(F.transform(F.array(lines_of(text)), without), F.lit(0)))
     out = [clean.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if counts:
         out.append(F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"))
