@@ -114,10 +114,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         presence = Presence()
         for b in batches:
             rows = [presence.of(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(rows, pa.list_(pa.int64()))], ["id", "lang", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array([x.astype("<i4").tobytes() for x in rows], pa.binary())], ["id", "lang", "grams"])
 
-    got = sample.mapInArrow(run, "id string, lang string, grams array<bigint>").toArrow().sort_by([("lang", "ascending"), ("id", "ascending")])
-    return fit_rows([np.asarray(x, np.int64) for x in got.column("grams").to_pylist()], got.column("lang").to_pylist(), landmarks, ridge) if got.num_rows else None
+    got = sample.mapInArrow(run, "id string, lang string, grams binary").toArrow().sort_by([("lang", "ascending"), ("id", "ascending")])
+    return fit_rows([np.frombuffer(x.as_buffer(), "<i4") for x in got.column("grams")], got.column("lang").to_pylist(), landmarks, ridge) if got.num_rows else None
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
