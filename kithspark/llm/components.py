@@ -13,9 +13,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Every step is an aggregate and an equi-join over the edges, written to the shared folder; a node with many
     neighbours is pre-aggregated and its join split by AQE. The number of steps grows with the logarithm of the longest
-    path. Loops (a = b) make a component of their own; repeated edges count once.
+    path. Loops (a = b) make a component of their own; repeated edges count once. The edges are read several times, so
+    give a written table.
     """
-    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), merge=32)
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -13,8 +13,8 @@ Sets are 64-bit hashes of k-word shingles; equal sets are one node. Two sets of
 * Bitmaps: a set's hashes toggle bits; the bits in which two bitmaps differ are at most the sets' difference, which
   bounds the overlap from above. Only pairs that pass are intersected, as sorted arrays.
 
-Candidates that pass are tried in two rounds, the nearest few of each pair of components, then all that are left, so
-no link between different texts is lost and copies are never expanded into pairs.
+Of a pair of components at most the NEAREST candidates that pass are tried; only if there are more, a second round tries
+all between what is still apart. So no link between different texts is lost, and copies are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from kithspark.llm.common import MIX_A, MIX_B, MIX_C, WordHashes, as_bytes, cut,
 from kithspark.llm.components import connected_components
 
 BLOCK = 512
+NEAREST = 4
 #: Bits of a bitmap for each unit of the largest difference: a pair 7 % beyond it is mostly told apart.
 BITS_PER_DIFFERENCE = 16
 #: Ids of candidate documents are broadcast up to this many, 8 bytes each; more are joined by a shuffle.
@@ -153,12 +154,12 @@ def _near_first(pivots: DataFrame, percent: int) -> DataFrame:
     return pivots.mapInArrow(run, "a bigint, b bigint")
 
 
-def _tile_pairs(groups: DataFrame, roots: DataFrame | None, light: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+def _tile_pairs(groups: DataFrame, roots: DataFrame, light: DataFrame, percent: int, nearest: int | None) -> DataFrame:
     """Distinct pairs (a, b) of different components that meet in a key group and that size and bitmap let link.
 
-    nearest: of each pair of components in a block, at most so many, the nearest.
+    nearest: of each pair of components in a block, at most so many, the nearest; `more` marks those that aren't all.
     """
-    rows = groups if roots is None else groups.join(roots.withColumnRenamed("node", "s"), "s", "left")
+    rows = groups.join(roots.withColumnRenamed("node", "s"), "s", "left")
     rows = rows.select("key", "tile", "s", F.coalesce("root", "s").alias("root"))
     w = Window.partitionBy("key")
     rows = rows.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w), "size": F.count("*").over(w)}).filter("lo < hi").drop("lo", "hi")
@@ -168,7 +169,7 @@ def _tile_pairs(groups: DataFrame, roots: DataFrame | None, light: DataFrame, pe
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     placed = rows.select("key", "i", "j", "own", "s", "n", "root", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "s")
 
-    def compare(part: list[pa.RecordBatch], out: list[list[int]]) -> None:
+    def compare(part: list[pa.RecordBatch], out: list[list]) -> None:
         block = pa.Table.from_batches(part).to_pydict()
         s, n, root = (np.array(block[c], np.int64) for c in ("s", "n", "root"))
         bits = np.array([np.frombuffer(x, np.uint64) for x in block["bits"]])
@@ -194,6 +195,9 @@ def _tile_pairs(groups: DataFrame, roots: DataFrame | None, light: DataFrame, pe
             if nearest is None or run <= nearest:
                 out[0].append(int(f[3]))
                 out[1].append(int(f[4]))
+                out[2].append(False)
+            elif run == nearest + 1:
+                out[2][-1] = True
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -201,7 +205,7 @@ def _tile_pairs(groups: DataFrame, roots: DataFrame | None, light: DataFrame, pe
         for b in batches:
             marks = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
             starts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), b.num_rows] if b.num_rows else [0]
-            out: list[list[int]] = [[], []]
+            out: list[list] = [[], [], []]
             for lo, hi in zip(starts, starts[1:], strict=False):
                 own = tuple(marks[lo].tolist())
                 if own != label and waiting:
@@ -209,13 +213,16 @@ def _tile_pairs(groups: DataFrame, roots: DataFrame | None, light: DataFrame, pe
                     waiting = []
                 label = own
                 waiting.append(b.slice(lo, hi - lo))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
+            yield batch(out)
         if waiting:
-            out = [[], []]
+            out = [[], [], []]
             compare(waiting, out)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
+            yield batch(out)
 
-    return placed.mapInArrow(work, "a bigint, b bigint").distinct()
+    def batch(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "more"])
+
+    return placed.mapInArrow(work, "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.bool_or("more").alias("more"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -254,12 +261,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = _near_first(pivots, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     tried = cut(first, merge=32)
     links = cut(_verify(tried, sets, percent), merge=32)
-    roots = None
-    for nearest in (4, None):
-        roots = cut(connected_components(links), merge=32)
-        pairs = cut(_tile_pairs(groups, roots, light, percent, nearest).join(tried, ["a", "b"], "left_anti"), merge=32)
+    for nearest in (NEAREST, None):
+        found = cut(_tile_pairs(groups, connected_components(links), light, percent, nearest), merge=32)
+        pairs = found.select("a", "b").join(tried, ["a", "b"], "left_anti")
         tried = tried.unionByName(pairs)
         links = links.unionByName(cut(_verify(pairs, sets, percent), merge=32))
+        if found.filter("more").isEmpty():
+            break
     roots = connected_components(links)
 
     least = members.filter("n > 0").groupBy("s").agg(F.min("id").alias("least"))

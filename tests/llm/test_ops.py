@@ -429,8 +429,10 @@ def edited(rng, words, share):
     return [w + "q" if rng.random() < share else w for w in words]
 
 
-def test_jaccard_join(spark, monkeypatch):
+@pytest.mark.parametrize("nearest", [1, 64])
+def test_jaccard_join(spark, monkeypatch, nearest):
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "NEAREST", nearest)
     rng = random.Random(9)
     texts = []
     for n in (8, 12, 20, 40, 150, 600):
