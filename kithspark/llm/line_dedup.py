@@ -1,12 +1,15 @@
-"""Line dedup by winnowing, with DataFrame functions only.
+"""Line dedup by repeated runs of lines, with DataFrame functions only.
 
 A line ends at a line break or after a sentence's end (. ! ? and a space), so passages that were pasted into a
-paragraph are lines too; lines joined give the text back to the letter. From each line on, the fewest lines (at most
-GRAM_LINES) with `min_gram` characters are a gram. Of every WINDOW grams in a row the one with the least hash is a
-fingerprint, so two texts that share WINDOW grams in a row share a fingerprint. A fingerprint's later places are
-joined with its first place (least id, then text hash, then position), the match is extended line by line both ways,
-and the later run is deleted if it has at least `min_run` characters. Each later place has one partner, the first, so
-a passage that many documents share makes as many pairs as it has copies. Every distinct line's first place stays.
+paragraph are lines too; lines joined give the text back to the letter. Lines are compared, and their characters counted,
+without blanks around them, each with one more character for its end. A run of lines with at least `min_run` characters
+is deleted wherever the same lines in a row also stand at an earlier place (least id, then text hash, then position);
+every such run goes, and every distinct line's first place stays.
+
+From each line on, the fewest lines with `min_run` characters are a gram, and all grams are compared, so a repeated run
+cannot be missed. What a run has beyond its last gram is less than a gram: such tails are compared only where their
+gram is repeated. A gram is repeated or not, whichever earlier place it has; there are no pairs of places.
+Grams have 64-bit hashes; with n different ones two share a hash with a chance of n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ from pyspark.sql import functions as F
 
 from kithspark.llm.common import cut
 
-GRAM_LINES = 4
-WINDOW = 4
+#: Grams of up to this many lines are found by a chain of cases; longer ones line by line.
+FAST_LINES = 8
 #: Runs to delete are broadcast up to this many, some 40 bytes each; more are joined by a shuffle of the texts.
 BROADCAST_RUNS = 300_000
 
@@ -31,61 +34,55 @@ def lines_of(text: F.Column) -> F.Column:
     return F.when(F.instr(text, "\x01") > 0, F.split(text, r"(?<=\n)|(?<=[.!?] )")).otherwise(F.split(marked, "\x01"))
 
 
-def _with_lines(docs: DataFrame, id_col: str, text_col: str, min_gram: int) -> DataFrame:
-    """id, th, hashes and lengths of the lines, prints (g, pos)."""
+def _with_grams(docs: DataFrame, id_col: str, text_col: str, min_run: int) -> DataFrame:
+    """id, th, grams: of each line, g (null where the text ends before the gram does), n (its lines), and tails: hashes of
+    the lines of the gram and 1, 2, ... lines after it, as far as the lines after the first have under min_run characters."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), lines_of(text).alias("lines"))
-    rows = rows.select("id", "th", F.transform("lines", lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\r\n")))).alias("hashes"), F.transform("lines", F.length).alias("lengths"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.transform(lines_of(text), lambda x: F.btrim(x, F.lit(" \t\r\n"))).alias("lines"))
+    rows = rows.select("id", "th", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", lambda x: F.length(x) + 1).alias("lengths"))
     total = "get(lengths, i - 1)"
     cases = []
-    for m in range(1, GRAM_LINES + 1):
-        cases.append(f"when {total} >= {min_gram} then xxhash64(slice(hashes, i, {m}))")
-        total += f" + get(lengths, i + {m - 1})"
-    rows = rows.withColumn("grams", F.expr(f"transform(sequence(1, size(hashes)), i -> case {' '.join(cases)} end)"))
-    windows = " or ".join(f"get(grams, i - 1) = array_min(slice(grams, greatest(1, least(i - {j}, size(grams) - {WINDOW - 1})), {WINDOW}))" for j in range(WINDOW))
-    prints = F.expr(f"transform(filter(sequence(1, size(grams)), i -> get(grams, i - 1) is not null and ({windows})), i -> struct(get(grams, i - 1) as g, i as pos))")
-    return rows.select("id", "th", "hashes", "lengths", prints.alias("prints"))
+    for n in range(1, FAST_LINES + 1):
+        cases.append(f"when {total} >= {min_run} then {n}")
+        total += f" + get(lengths, i + {n - 1})"
+    # every line has a character at least, so min_run lines are enough
+    longer = f"aggregate(slice(lengths, i, {min_run}), (0 as n, 0L as c), (a, x) -> if(a.c >= {min_run}, a, (a.n + 1 as n, a.c + x as c)), a -> if(a.c >= {min_run}, a.n, null))"
+    rows = rows.withColumn("sizes", F.expr(f"transform(sequence(1, size(lengths)), i -> case {' '.join(cases)} else {longer} end)"))
+    tails = "if(n < coalesce(get(sizes, i + 1), size(sizes) - i), transform(sequence(n + 1, coalesce(get(sizes, i + 1), size(sizes) - i)), m -> xxhash64(slice(hashes, i + 1, m))), array())"
+    grams = F.expr(f"transform(sizes, (n, i) -> if(n is null, null, struct(xxhash64(slice(hashes, i + 1, n)) as g, i + 1 as pos, n, {tails} as tails)))")
+    return rows.select("id", "th", F.filter(grams, lambda x: x.isNotNull()).alias("grams"))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_gram: int = 60, min_run: int = 120) -> DataFrame:
+def _repeated(places: DataFrame, key: str) -> DataFrame:
+    """The places (id, th, pos and more) whose key stands at several places, with later: whether it isn't the first."""
+    place = F.struct("id", "th", "pos")
+    firsts = places.groupBy(key).agg(F.min(place).alias("first"), F.count("*").alias("places")).filter("places > 1").drop("places")
+    return places.join(firsts, key).withColumn("later", ~place.eqNullSafe(F.col("first"))).drop("first")
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 120) -> DataFrame:
     """Per document with later copies of runs: id, th (hash of its text), runs (array of first and last line, from 1)."""
-    rows = cut(_with_lines(docs, id_col, text_col, min_gram))
-    prints = rows.select("id", "th", F.inline("prints"))
-    firsts = prints.groupBy("g").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first")
-    later = prints.join(firsts, "g").filter("not (struct(id, th, pos) <=> first)")
-    later = later.select("id", "th", F.col("first.id").alias("id1"), F.col("first.th").alias("th1"), (F.col("pos") - F.col("first.pos")).alias("off"), "pos")
-    met = later.groupBy("id", "th", "id1", "th1", "off").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    own = rows.groupBy("id", "th").agg(F.first("hashes").alias("hashes"), F.first("lengths").alias("lengths"))
-    other = own.select(F.col("id").alias("o_id"), F.col("th").alias("o_th"), F.col("hashes").alias("o_hashes"))
-    mine = own.select(F.col("id").alias("m_id"), F.col("th").alias("m_th"), "hashes", "lengths")
-    both = met.join(mine, met["id"].eqNullSafe(mine["m_id"]) & (met["th"] == mine["m_th"]))
-    both = both.join(other, both["id1"].eqNullSafe(other["o_id"]) & (both["th1"] == other["o_th"]))
-    same = F.expr("transform(sequence(1, size(hashes)), i -> coalesce(get(hashes, i - 1) = get(o_hashes, i - 1 - off), false))")
-    both = both.select("id", "th", "lengths", "at", same.alias("same"))
-    # fingerprints of one run tell the same run: only the first of neighbours with no difference between is extended
-    heads = F.expr(
-        f"filter(sequence(1, size(at)), j -> j = 1 or get(at, j - 1) - get(at, j - 2) > {WINDOW}"
-        " or array_contains(slice(same, get(at, j - 2), get(at, j - 1) - get(at, j - 2)), false))"
-    )
-    both = both.withColumn("heads", F.transform(heads, lambda j: F.get("at", j - 1)))
-    runs = F.expr(
-        "transform(heads, p -> struct("
-        "p + 1 - coalesce(nullif(array_position(reverse(slice(same, 1, p)), false) - 1, -1), p) as lo,"
-        "p - 1 + coalesce(nullif(array_position(slice(same, p, size(same)), false) - 1, -1), size(same) - p + 1) as hi))"
-    )
-    both = both.select("id", "th", "lengths", F.explode(F.array_distinct(runs)).alias("run"))
-    long = F.expr(f"aggregate(slice(lengths, cast(run.lo as int), cast(run.hi - run.lo + 1 as int)), 0L, (a, x) -> a + x) >= {min_run}")
-    return both.filter(long).groupBy("id", "th").agg(F.collect_set(F.struct(F.col("run.lo").cast("int").alias("lo"), F.col("run.hi").cast("int").alias("hi"))).alias("runs"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_gram: int = 60, min_run: int = 120, counts: bool = False) -> DataFrame:
+    grams = cut(_with_grams(docs, id_col, text_col, min_run)).select("id", "th", F.inline("grams"))
+    met = cut(_repeated(grams, "g"), merge=4)
+    runs = met.filter("later").select("id", "th", F.col("pos").alias("lo"), (F.col("pos") + F.col("n") - 1).alias("hi"))
+    tails = met.select("id", "th", "pos", "n", F.posexplode("tails").alias("k", "h"))
+    last = F.col("pos") + F.col("n") + F.col("k")
+    ends = _repeated(tails, "h").filter("later").select("id", "th", last.alias("lo"), last.alias("hi"))
+    lines = F.flatten(F.collect_set(F.sequence("lo", "hi")))
+    lines = runs.unionByName(ends).groupBy("id", "th").agg(F.sort_array(F.array_distinct(lines)).alias("lines"))
+    lo = F.expr("filter(lines, (x, i) -> i = 0 or get(lines, i - 1) < x - 1)")
+    hi = F.expr("filter(lines, (x, i) -> i = size(lines) - 1 or get(lines, i + 1) > x + 1)")
+    return lines.select("id", "th", lo.alias("lo"), hi.alias("hi")).select("id", "th", F.arrays_zip("lo", "hi").alias("runs"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 120, counts: bool = False) -> DataFrame:
     """docs with the later copies of repeated runs of lines cut out of text_col; the columns of docs.
 
     With counts also n_removed, the lines cut out. Documents without such runs keep their text to the letter; a text
     that is a later copy as a whole becomes "". Null stays null. Rows with the same id and text are one document, which
     keeps what is its own in each row; a null id comes before all others. An empty table gives no rows.
     """
-    runs = cut(repeated_runs(docs, id_col, text_col, min_gram, min_run), merge=32).withColumnsRenamed({"id": "__id", "th": "__th", "runs": "__runs"})
+    runs = cut(repeated_runs(docs, id_col, text_col, min_run), merge=32).withColumnsRenamed({"id": "__id", "th": "__th", "runs": "__runs"})
     if (runs.agg(F.sum(F.size("__runs"))).first()[0] or 0) <= BROADCAST_RUNS:
         runs = F.broadcast(runs)
     text = F.coalesce(docs[text_col], F.lit(""))

@@ -235,6 +235,57 @@ def test_passages_go(spark):
     assert left == [0]
 
 
+def all_runs(rows, min_run=120):
+    """id -> text without later copies of runs of lines, by a search for every run at every earlier place."""
+    lines = {i: re.split(r"(?<=\n)|(?<=[.!?] )", t or "") for i, t in rows}
+    bare = {i: [x.strip(" \t\r\n") for x in ls] for i, ls in lines.items()}
+    gone = {i: set() for i, _ in rows}
+    order = sorted(bare, key=lambda i: (i is not None, i))
+    for at, i in enumerate(order):
+        a = bare[i]
+        for j in order[: at + 1]:
+            b = bare[j]
+            for k in range(len(a)):
+                for p in range(len(b) if j != i else k):
+                    n = 0
+                    while k + n < len(a) and p + n < len(b) and a[k + n] == b[p + n]:
+                        n += 1
+                    if sum(len(x) + 1 for x in a[k : k + n]) >= min_run:
+                        gone[i] |= set(range(k, k + n))
+    return {i: None if t is None else "".join(x for k, x in enumerate(lines[i]) if k not in gone[i]) for i, t in rows}
+
+
+def in_hosts(rng, passages):
+    """Each passage between other sentences of its own, joined to one line of text."""
+    return [f"{prose(rng, 12)}. {p} {prose(rng, 12)}." for p in passages]
+
+
+def check_runs(spark, texts):
+    got = {i: r["text"] for i, r in by_id(line_dedup.dedup_lines(docs(spark, texts))).items()}
+    assert got == all_runs(list(enumerate(texts)))
+    return got
+
+
+@pytest.mark.parametrize("sizes", [[60], [30, 30], [20, 20, 20], [8] * 7, [1, 40, 1]])
+def test_every_repeated_run_goes(spark, sizes):
+    rng = random.Random(6)
+    passage = " ".join(prose(rng, n).capitalize() + "." for n in sizes)
+    got = check_runs(spark, in_hosts(rng, [passage] * 20))
+    assert [i for i, t in got.items() if passage in t] == [0]
+
+
+def test_random_runs(spark):
+    rng = random.Random(7)
+    lines = [prose(rng, rng.choice([1, 1, 2, 5, 12, 40])) + rng.choice([". ", ".\n", "\n", "  \n", "\n\n"]) for _ in range(25)]
+    texts = []
+    for _ in range(60):
+        at = rng.randrange(20)
+        texts.append("".join(x for x in lines[at : at + rng.randint(1, 9)] + [prose(rng, 3) + "\n"] + rng.choices(lines, k=4)))
+    check_runs(spark, [*texts, texts[3] + texts[5], *texts[:2], None, ""])
+
+
+
+
 # 5, 6 ----------------------------------------------------------------------------------------------------------------
 TOKEN_TEXTS = ["a  b", "   a", "a   ", "▁▁x ▁", "<s> </s> <unk>", "<|endoftext|> x", "don't 's 'S", "x\x00y", "É́ a\x1cb", "Straße ẞ K"]
 
