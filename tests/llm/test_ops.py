@@ -284,6 +284,14 @@ def test_random_runs(spark):
     check_runs(spark, [*texts, texts[3] + texts[5], *texts[:2], None, ""])
 
 
+def test_sentences_that_stand_alone_before(spark):
+    rng = random.Random(8)
+    own = [prose(rng, 13).capitalize() + "." for _ in range(6)]
+    passage = " ".join(own)
+    texts = in_hosts(rng, own) + in_hosts(rng, [passage] * 4)
+    got = check_runs(spark, texts)
+    assert [i for i, t in got.items() if passage in t] == [6] and all(got[i] == texts[i] for i in range(6))
+
 
 
 # 5, 6 ----------------------------------------------------------------------------------------------------------------
