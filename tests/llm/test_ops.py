@@ -293,6 +293,13 @@ def test_sentences_that_stand_alone_before(spark):
     assert [i for i, t in got.items() if passage in t] == [6] and all(got[i] == texts[i] for i in range(6))
 
 
+def test_runs_of_short_lines(spark):
+    rng = random.Random(9)
+    verse = "".join(f"{prose(rng, 2)[:10]}\n" for _ in range(30))
+    texts = [f"{prose(rng, 12)}.\n{verse}{prose(rng, 12)}.\n" for _ in range(6)] + [verse, "}\n" * 200, "}\n" * 200]
+    got = check_runs(spark, texts)
+    assert [i for i, t in got.items() if verse in t] == [0] and got[6] == got[8] == "" and len(got[7]) < 240
+
 
 # 5, 6 ----------------------------------------------------------------------------------------------------------------
 TOKEN_TEXTS = ["a  b", "   a", "a   ", "▁▁x ▁", "<s> </s> <unk>", "<|endoftext|> x", "don't 's 'S", "x\x00y", "É́ a\x1cb", "Straße ẞ K"]
