@@ -4,7 +4,8 @@ A lenient parse gives a tree. Elements that are boilerplate by what they are (na
 reader comments, ...) are cut off. For every other element the text density is its characters per tag, adjusted by the
 share of link characters and link tags; a density sum adds the densities of its children. The threshold is the least
 density on the path from the element with the greatest sum up to the body; in every subtree at or above it, the
-element with the greatest sum is content, whole. Content inside an article element brings the whole article.
+element with the greatest sum is content, whole. One rule goes by a tag: where the element with the greatest sum of all
+lies in an article element, that whole article is content too. Nothing that density chose is dropped.
 """
 
 from __future__ import annotations
@@ -241,15 +242,12 @@ def _content(root: Node) -> list[Node]:
             chosen.append(body)
         else:
             todo += [y for y in reversed(x.items) if isinstance(y, Node) and not y.cut]
-    lifted: dict[Node, None] = {}
-    for x in [*chosen, top]:
-        up, last = x, None
-        while up is not None:
-            last = up if up.tag == "article" else last
-            up = up.parent
-        lifted[last or x] = None
-    if articles := [x for x in lifted if x.tag == "article"]:
-        lifted = dict.fromkeys(articles)
+    lifted = dict.fromkeys([*chosen, top])
+    up: Node | None = top
+    while up is not None:
+        if up.tag == "article":
+            lifted[up] = None
+        up = up.parent
     return [x for x in under if x in lifted and not _within(x, lifted)]
 
 

@@ -129,6 +129,15 @@ def test_html(name):
     assert html_extract.extract(page).split("\n\n") == want
 
 
+def test_html_beside_an_article():
+    story = [f"{k} " + "x" * 398 for k in range(10)]
+    teaser = "<article><p>" + "y" * 250 + "</p></article>"
+    page = f"<body><div>{''.join(f'<p>{x}</p>' for x in story)}</div>{teaser}{'<div></div>' * 30}</body>"
+    got = html_extract.extract(page).split("\n\n")
+    assert got[:10] == story
+    assert got[10:] == ["y" * 250]  # as dense as the threshold asks, so content as well
+
+
 def test_html_table(spark):
     odd = [None, "", "   ", "plain text", "<p>x\n  y<br>z</p>", "<div>" * 3000 + "deep", "<p a='", "<b>a</i>b</b>", "<p>&lt;b&gt;&nbsp;&amp;amp;</p>", "<ul><li>a<li>b</ul>", "<p>q</p></p>"]
     df = spark.createDataFrame([(i, "u", p, "clash") for i, p in enumerate(odd)], "page_id bigint, url string, html string, text string")
