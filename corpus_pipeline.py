@@ -15,9 +15,13 @@ from kithspark.llm.registry import tokenizer_path
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; undetermined ones (no text, no letters) go."""
+    """Documents with a language; undetermined ones (no text, no letters) go. Where no document has both a language and a
+    text, nothing can be fitted, and those with letters stay."""
     columns = docs.columns
-    found = language_id.identify(docs, language_id.fit(docs))
+    model = language_id.fit(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language_id.identify(docs, model)
     return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*columns)
 
 

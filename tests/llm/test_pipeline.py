@@ -58,3 +58,10 @@ def test_empty(spark):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
     assert corpus_pipeline.run(spark, at).count() == 0
+
+
+def test_no_language_labels(spark):
+    texts = ["Some words.", "日本語", "12 !", "", None]
+    docs = spark.createDataFrame([(i, t, None, "src1", 0) for i, t in enumerate(texts)], COLUMNS)
+    got = corpus_pipeline.keep_identified(spark, docs, SF)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [0, 1]
