@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithspark.llm.common import MIX_A, MIX_B, MIX_C, WordHashes, as_bytes, cut, few_files, mix, shingle_hashes, small_batches
+from kithspark.llm.common import MIX_A, MIX_B, MIX_C, WordHashes, as_bytes, cut, few_files, join_counted, mix, shingle_hashes, small_batches
 from kithspark.llm.components import connected_components
 
 BLOCK = 512
@@ -160,9 +160,9 @@ def _tile_pairs(groups: DataFrame, roots: DataFrame, light: DataFrame, percent:
     nearest: of each pair of components in a block, at most so many, the nearest; `more` marks those that aren't all.
     """
     rows = groups.join(roots.withColumnRenamed("node", "s"), "s", "left")
-    rows = rows.select("key", "tile", "s", F.coalesce("root", "s").alias("root"))
-    w = Window.partitionBy("key")
-    rows = rows.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w), "size": F.count("*").over(w)}).filter("lo < hi").drop("lo", "hi")
+    rows = cut(rows.select("key", "tile", "s", F.coalesce("root", "s").alias("root")), merge=8)
+    apart = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+    rows = join_counted(rows, cut(apart.select("key", "size", F.col("size").alias("members")), merge=32), "key", "members")
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(s), blocks) as int)"))
     rows = rows.join(light, ["s", "tile"])
     rows = rows.select("key", "s", "n", "root", "own", "bits", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
@@ -238,9 +238,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = signed.filter("own").select("id", "s", "n")
     nodes = cut(signed.filter("tile >= 0").groupBy("s", "tile").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), merge=8)
     light = nodes.select("s", "tile", "n", "bits")
-    w = Window.partitionBy("key")
-    groups = nodes.select("s", "tile", F.explode("keys").alias("key")).withColumns({"lo": F.min("s").over(w), "hi": F.max("s").over(w)})
-    groups = cut(groups.filter("lo < hi").select("key", "tile", "s", F.col("lo").alias("pivot")), merge=8)
+    keyed = nodes.select("s", "tile", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("s").alias("pivot"), F.max("s").alias("hi"), F.count("*").alias("members")).filter("pivot < hi")
+    groups = join_counted(keyed, cut(shared.drop("hi"), merge=32), "key", "members")
+    groups = cut(groups.select("key", "tile", "s", "pivot"), merge=8)
 
     needed = cut(members.join(groups.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min("id").alias("rep")), merge=32)
     reps = needed.select(F.col("rep").alias("__rep")).distinct()

@@ -162,45 +162,22 @@ def test_html_of_the_tables(spark):
 
 
 # 4 -------------------------------------------------------------------------------------------------------------------
-def brute_lines(rows, min_gram=60, min_run=120):
-    """id -> text without later copies of runs, by the definition, with plain loops."""
-    long = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    hashed = lambda s: long(xxhash.xxh64_intdigest(s.encode(), 42))
-
-    def chained(hs):
-        seed = 42
-        for h in hs:
-            seed = xxhash.xxh64_intdigest((h & (1 << 64) - 1).to_bytes(8, "little"), seed)
-        return long(seed)
-
+def all_runs(rows, min_run=120):
+    """id -> text without later copies of runs of lines, by a search for every run at every earlier place."""
     lines = {i: re.split(r"(?<=\n)|(?<=[.!?] )", t or "") for i, t in rows}
-    hs = {i: [hashed(x.strip(" \t\r\n")) for x in ls] for i, ls in lines.items()}
-    prints = []
-    for i, ls in lines.items():
-        grams = []
-        for k in range(len(ls)):
-            size = next((m for m in range(1, 5) if k + m <= len(ls) and sum(map(len, ls[k : k + m])) >= min_gram), None)
-            grams.append(chained(hs[i][k : k + size]) if size else None)
-        chosen = set()
-        for s in range(max(1, len(ls) - 3)):
-            window = [(g, k) for k, g in enumerate(grams[s : s + 4], s) if g is not None]
-            if window:
-                chosen |= {k for g, k in window if g == min(window)[0]}
-        prints += [(grams[k], i, k) for k in sorted(chosen)]
-    first, gone = {}, {i: set() for i in lines}
-    for g, i, k in sorted(prints, key=lambda x: (x[0], x[1], x[2])):
-        if g not in first:
-            first[g] = (i, k)
-            continue
-        j, p = first[g]
-        a, b = hs[i], hs[j]
-        lo = hi = 0
-        while k - lo - 1 >= 0 and p - lo - 1 >= 0 and a[k - lo - 1] == b[p - lo - 1]:
-            lo += 1
-        while k + hi < len(a) and p + hi < len(b) and a[k + hi] == b[p + hi]:
-            hi += 1
-        if sum(map(len, lines[i][k - lo : k + hi])) >= min_run:
-            gone[i] |= set(range(k - lo, k + hi))
+    bare = {i: [x.strip(" \t\r\n") for x in ls] for i, ls in lines.items()}
+    gone = {i: set() for i, _ in rows}
+    earlier = {}
+    for i in sorted(bare, key=lambda i: (i is not None, i)):
+        a = bare[i]
+        for k, x in enumerate(a):
+            for j, p in earlier.setdefault(x, []):
+                b, n = bare[j], 1
+                while k + n < len(a) and p + n < len(b) and a[k + n] == b[p + n]:
+                    n += 1
+                if sum(len(x) + 1 for x in a[k : k + n]) >= min_run:
+                    gone[i] |= set(range(k, k + n))
+            earlier[x].append((i, k))
     return {i: None if t is None else "".join(x for k, x in enumerate(lines[i]) if k not in gone[i]) for i, t in rows}
 
 
@@ -219,10 +196,12 @@ def test_line_dedup(spark):
     rows = list(enumerate(texts))
     df = docs(spark, texts, extra=True)
     got = by_id(line_dedup.dedup_lines(df, counts=True))
-    want = brute_lines(rows)
+    want = all_runs(rows)
     assert {i: r["text"] for i, r in got.items()} == want
     assert want[60] == "" and got[0]["n_removed"] == 0 and line_dedup.dedup_lines(df).columns == df.columns
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    clash = line_dedup.dedup_lines(df.withColumns({"n_removed": F.lit("x"), "id": F.lit("y"), "runs": F.lit("z"), "gone": F.lit(0)}), counts=True)
+    assert clash.columns == [*df.columns, "id", "runs", "gone", "n_removed"] and clash.filter("n_removed > 0").count() == sum(r["n_removed"] > 0 for r in got.values())
     again = line_dedup.dedup_lines(df.unionByName(df))
     assert {(r["doc_id"], r["text"]) for r in again.collect()} == set(want.items())
 
@@ -244,26 +223,6 @@ def test_passages_go(spark):
     assert left == [0]
 
 
-def all_runs(rows, min_run=120):
-    """id -> text without later copies of runs of lines, by a search for every run at every earlier place."""
-    lines = {i: re.split(r"(?<=\n)|(?<=[.!?] )", t or "") for i, t in rows}
-    bare = {i: [x.strip(" \t\r\n") for x in ls] for i, ls in lines.items()}
-    gone = {i: set() for i, _ in rows}
-    order = sorted(bare, key=lambda i: (i is not None, i))
-    for at, i in enumerate(order):
-        a = bare[i]
-        for j in order[: at + 1]:
-            b = bare[j]
-            for k in range(len(a)):
-                for p in range(len(b) if j != i else k):
-                    n = 0
-                    while k + n < len(a) and p + n < len(b) and a[k + n] == b[p + n]:
-                        n += 1
-                    if sum(len(x) + 1 for x in a[k : k + n]) >= min_run:
-                        gone[i] |= set(range(k, k + n))
-    return {i: None if t is None else "".join(x for k, x in enumerate(lines[i]) if k not in gone[i]) for i, t in rows}
-
-
 def in_hosts(rng, passages):
     """Each passage between other sentences of its own, joined to one line of text."""
     return [f"{prose(rng, 12)}. {p} {prose(rng, 12)}." for p in passages]

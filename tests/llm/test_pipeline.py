@@ -10,7 +10,7 @@ pytest.importorskip("public_tokenizers")
 sys.path.insert(0, os.path.dirname(__file__))
 
 import corpus_pipeline  # noqa: E402
-from test_ops import brute_components, brute_hits, brute_lines, prose, sentences  # noqa: E402
+from test_ops import all_runs, brute_components, brute_hits, prose, sentences  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -37,7 +37,7 @@ def test_stages(spark, tmp_path):
         if name == "language_id":
             want = {i: t for i, t in rows.items() if t and any(c.isalpha() for c in t)}
         elif name == "line_dedup":
-            clean = brute_lines(sorted(rows.items()))
+            clean = all_runs(sorted(rows.items()))
             want = {i: t for i, t in clean.items() if t.strip(" ") or t == rows[i]}
         elif name == "jaccard_join":
             ids = sorted(rows)
@@ -60,6 +60,14 @@ def test_empty(spark):
     assert corpus_pipeline.run(spark, at).count() == 0
 
 
+def test_clashing_columns(spark):
+    rng = random.Random(2)
+    text = "".join(sentences(rng, 9))
+    docs = spark.createDataFrame([(i, text, "en", "src1", 0, 7, "y") for i in range(3)], COLUMNS + ", n_removed int, id string")
+    got = corpus_pipeline.drop_repeated_lines(spark, docs, SF)
+    assert got.columns == docs.columns and [r["n_removed"] for r in got.collect()] == [7]
+
+
 def test_no_language_labels(spark):
     texts = ["Some words.", "日本語", "12 !", "", None]
     docs = spark.createDataFrame([(i, t, None, "src1", 0) for i, t in enumerate(texts)], COLUMNS)
