@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithspark.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from kithspark.llm.common import cut, table
+from kithspark.llm.common import cut_last, table, written
 from kithspark.llm.registry import tokenizer_path
 
 
@@ -27,9 +27,13 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated runs; those of which nothing is left go."""
-    clean = line_dedup.dedup_lines(docs, counts=True)
-    clean = clean.filter("n_removed = 0 or length(trim(text)) > 0")
-    return clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    mark = "n_removed"
+    while mark in docs.columns:
+        mark += "_"
+    clean = line_dedup.dedup_lines(docs, counts=mark)
+    clean = clean.filter((F.col(mark) == 0) | (F.length(F.trim("text")) > 0))
+    n_chars = F.when(F.col(mark) > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. What a stage wrote on its way goes as soon as its result is written."""
     docs = table(spark, sf_dir, "documents")
+    before = written()
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = cut_last(stage(spark, docs, sf_dir), before)
     return docs
