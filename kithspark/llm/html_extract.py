@@ -1,11 +1,12 @@
 """Main text of web pages by composite text density.
 
-A lenient parse gives a tree. Elements that are boilerplate by what they are (navigation, forms, scripts, adverts,
-reader comments, ...) are cut off. For every other element the text density is its characters per tag, adjusted by the
-share of link characters and link tags; a density sum adds the densities of its children. The threshold is the least
-density on the path from the element with the greatest sum up to the body; in every subtree at or above it, the
-element with the greatest sum is content, whole. One rule goes by a tag: where the element with the greatest sum of all
-lies in an article element, that whole article is content too. Nothing that density chose is dropped.
+A lenient parse gives a tree. What is no text by its kind (scripts, forms, navigation, asides, ...) or by a name that
+says so (adverts, cookie notices, sidebars, reader comments) is cut off; the rest is decided by density. For every other
+element the text density is its characters per tag, adjusted by the share of link characters and link tags; a density sum
+adds the densities of its children. The element with the greatest sum is the main text, whole. The threshold is the
+least density on the path from it up to the body: any other subtree at or above it, which holds elements of its own, is
+main text too, by the element with the greatest sum in it. No tag or name makes an element main text. Inline elements but
+links aren't counted as tags: what they hold belongs to the block around them.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import DataFrame
 
 from kithspark.llm.common import small_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*?)(/?)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(\bhidden\b)")
+#: The attributes of a tag up to its end. Quantifiers are possessive, so that a tag without end costs one pass.
+_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 _SPACE = re.compile(r"\s+")
 _NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 # Names of HTML elements, by how a page's text uses them.
@@ -33,17 +36,20 @@ OWN_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 WALLS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select", "datalist"), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",), "p": ("table", "td", "th", "caption", "button", "object")}
 NEVER_TEXT = RAW | frozenset("head nav footer aside form button select option input datalist svg math canvas audio video object embed applet map dialog menu progress meter frameset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split())
-# Parts of class and id names that mark boilerplate.
+# Words of class and id names that mark boilerplate. A name counts if it is made of them and of FILLERS alone, so that
+# "related-work" or "has-sidebar" don't. Those in AMBIGUOUS also name parts of articles: they never cut off a section or
+# heading, and other elements only where at least half of the characters are links, or the text is a line.
 BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar"
-    " comment comments disqus reply replies respond discussion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing"
-    " social related recommended recommendations widget toolbar pagination pager skip disclaimer copyright".split()
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored comment comments disqus cookie cookies consent gdpr"
+    " sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead topbar newsletter subscribe subscription signup login popup modal".split()
 )
-
-
-#: Those of them that layouts also give to a wrapper of the whole page ("has-sidebar"): such a wrapper is spared.
-LAYOUT = frozenset("ad ads banner sidebar nav navbar menu header footer widget toolbar social share sharing related topbar masthead promo".split())
-HARD, SOFT = 1, 2
+AMBIGUOUS = frozenset("promo promotion banner notice notices social share sharing related recommended recommendations reply replies respond widget toolbar skip disclaimer copyright overlay header".split())
+FILLERS = frozenset("a the main site page web global top bottom left right user reader readers post posts article articles story stories bar box block list links link area section wrapper container content unit slot form button buttons text item items more by".split())
+TOPICAL = frozenset("section h1 h2 h3 h4 h5 h6".split())
+LINE = 200
+#: Those of them that layouts also give to a wrapper of the whole page: such a wrapper is spared.
+LAYOUT = frozenset("ad ads sidebar nav navbar menu header footer widget toolbar social share sharing related topbar masthead promo banner".split())
+HARD, SOFT, MAYBE = 1, 2, 3
 
 
 class Node:
@@ -60,19 +66,23 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> int:
     if not attributes or tag in ("html", "body", "article", "main"):
         return 0
     out = 0
-    for name, *values, hidden in _ATTRIBUTE.findall(attributes):
+    for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         name = name.lower()
-        if hidden or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "hidden" or name == "aria-hidden" and value == "true":
             return HARD
         if name == "role" and value.lower() in ROLES or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return HARD
         if name in ("class", "id"):
-            parts = {p.lower() for p in _NAME_PART.findall(value)}
-            marks = parts & BOILERPLATE | ({"header"} & parts if not inside else set())
-            if marks - LAYOUT:
-                return HARD
-            out = SOFT if marks else out
+            for word in value.split():
+                parts = {p.lower() for p in _NAME_PART.findall(word)}
+                known = parts & BOILERPLATE
+                maybe = parts & AMBIGUOUS if tag not in TOPICAL else frozenset()
+                if not known and not maybe or parts - known - maybe - FILLERS:
+                    continue
+                if known - LAYOUT:
+                    return HARD
+                out = SOFT if known else out or MAYBE
     return out
 
 
@@ -105,14 +115,29 @@ def parse(page: str) -> Node:
         while now is not stop:
             leave()
 
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            now.items.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    text_from, last = 0, page.rfind(">")
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), start):
+            end = page.find("-->", start + 4) + 3 if page.startswith("<!--", start) else page.find(">", start) + 1
+            if end < 3 and not page.startswith("<!--", start):
+                at = start + 1
+                continue
+            own, attributes = "", ""
+            end = end if end >= 3 else len(page)
+        else:
+            name = _NAME.match(page, start + 1)
+            rest = _REST.match(page, name.end()) if name and name.end() <= last else None
+            if rest is None:
+                at = start + 1
+                continue
+            own, attributes, end = name[0].lower(), rest[1], rest.end()
+        if start > text_from:
+            now.items.append(page[text_from:start])
+        at = text_from = end
+        if not own:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = own.lstrip("/")
+        if own[0] == "/":
             if tag in ("html", "body") or not stack_has.get(tag):
                 if tag == "p":
                     now.items.append("\n")
@@ -129,8 +154,9 @@ def parse(page: str) -> Node:
                     leave()
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            end = page.find(">", close.end()) + 1 if close else 0
+            at = text_from = end or len(page)
             continue
         if tag == "html":
             continue
@@ -140,19 +166,20 @@ def parse(page: str) -> Node:
             close_to(OWN_KIND[tag], WALLS[tag])
         if tag == "body":
             close_to(("head",), ())
-        node = Node(tag, now, _boilerplate(tag, m[3], bool(inside)))
+        node = Node(tag, now, _boilerplate(tag, attributes, bool(inside)))
         now.items.append(node)
-        if tag not in VOID and not (m[4] and tag not in INLINE | P_ENDS):
+        if tag not in VOID and not (attributes.endswith("/") and tag not in INLINE | P_ENDS):
             now = node
             stack_has[tag] = stack_has.get(tag, 0) + 1
             inside += tag in for_close
-    if at < len(page):
-        now.items.append(page[at:])
+    if text_from < len(page):
+        now.items.append(page[text_from:])
     return root
 
 
 def _spare(root: Node) -> None:
-    """A cut-off element that holds an article, or a wrapper with most of the page's text, isn't boilerplate after all."""
+    """Of what names have cut off: a wrapper of an article or of most of the page's text isn't boilerplate after all, nor
+    is an element of an ambiguous name that holds more than links or a line of text."""
     every, todo = [], [root]
     while todo:
         x = todo.pop()
@@ -164,15 +191,21 @@ def _spare(root: Node) -> None:
                     up.cut = 0
                 up = up.parent
         todo += [y for y in x.items if isinstance(y, Node)]
-    if any(x.cut == SOFT for x in every) and not any(x.tag in ("article", "main") for x in every):
-        for x in every:
-            x.chars = sum(len(y) for y in x.items if isinstance(y, str))
-        for x in reversed(every):
-            if x.parent is not None and x.cut != HARD:
-                x.parent.chars += x.chars
-        for x in every:
-            if x.cut == SOFT and 2 * x.chars > root.chars and any(isinstance(y, Node) and y.tag not in INLINE for y in x.items):
-                x.cut = 0
+    if not any(x.cut in (SOFT, MAYBE) for x in every):
+        return
+    for x in every:
+        x.chars = sum(len(y) for y in x.items if isinstance(y, str))
+        x.link_chars = 0
+    for x in reversed(every):
+        if x.tag == "a":
+            x.link_chars = x.chars
+        if x.parent is not None and x.cut != HARD:
+            x.parent.chars += x.chars
+            x.parent.link_chars += x.link_chars
+    for x in every:
+        wrapper = 2 * x.chars > root.chars and any(isinstance(y, Node) and y.tag not in INLINE for y in x.items)
+        if x.cut and x.cut != HARD and wrapper or x.cut == MAYBE and x.chars > LINE and 2 * x.link_chars < x.chars:
+            x.cut = 0
 
 
 def _in_order(root: Node) -> list[Node]:
@@ -196,7 +229,7 @@ def _measure(root: Node) -> list[Node]:
             x.link_chars, x.link_tags = x.chars, x.link_tags + 1
         if p := x.parent:
             p.chars += x.chars
-            p.tags += x.tags + 1
+            p.tags += x.tags + (x.tag == "a" or x.tag not in INLINE)
             p.link_chars += x.link_chars
             p.link_tags += x.link_tags
     body = next((x for x in nodes if x.tag == "body"), root)
@@ -208,8 +241,8 @@ def _measure(root: Node) -> list[Node]:
             continue
         base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
         x.density = c / t * (math.log(max(1.0, c / max(1, lc) * (t / max(1, lt)))) / base if lc else math.log(max(math.e, c * t)) / base)
-    for x in nodes:
-        x.total = sum(y.density for y in x.items if isinstance(y, Node) and not y.cut)
+    for x in reversed(nodes):
+        x.total = sum(y.total if y.tag in INLINE else y.density for y in x.items if isinstance(y, Node) and not y.cut)
     return nodes
 
 
@@ -229,35 +262,21 @@ def _content(root: Node) -> list[Node]:
         best[x] = top
     top = best[body]
     threshold, x = top.density, top
-    while x is not body and x is not None:
+    above = dict.fromkeys(under, False)  # whether the element holds top
+    while x is not body:
         x = x.parent
+        above[x] = True
         threshold = min(threshold, x.density)
-    chosen: list[Node] = []
-    todo = [body]
+    chosen, todo = [], [body]
     while todo:
         x = todo.pop()
-        if x.density >= threshold and x is not body:
-            chosen.append(best[x] if best[x].total > 0 else x)
-        elif x is body and top is body:
-            chosen.append(body)
+        if x is top:
+            chosen.append(x)
+        elif x is not body and x.density >= threshold and best[x].total > 0 and not above[x]:
+            chosen.append(best[x])
         else:
             todo += [y for y in reversed(x.items) if isinstance(y, Node) and not y.cut]
-    lifted = dict.fromkeys([*chosen, top])
-    up: Node | None = top
-    while up is not None:
-        if up.tag == "article":
-            lifted[up] = None
-        up = up.parent
-    return [x for x in under if x in lifted and not _within(x, lifted)]
-
-
-def _within(x: Node, others: dict[Node, None]) -> bool:
-    up = x.parent
-    while up is not None:
-        if up in others:
-            return True
-        up = up.parent
-    return False
+    return chosen
 
 
 def _blocks(tops: list[Node]) -> list[str]:
