@@ -22,6 +22,8 @@ from kithspark.llm.common import small_batches
 
 BITS = 17
 UNDETERMINED = "und"
+#: What one step of the scoring product may take.
+BLOCK_BYTES = 16 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -57,11 +59,17 @@ class Model:
         self.languages, self.weights, self.intercepts = languages, weights, intercepts
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
-        """A batch's presence rows times the matrix, as sums over the rows' entries."""
+        """A batch's presence matrix (sparse: the places of its ones, row by row) times the weights, in blocks whose rows
+        of weights take at most BLOCK_BYTES, or one row's worth."""
+        sizes = np.array([len(at) for at in rows])
         out = np.zeros((len(rows), len(self.languages)), np.float32)
-        for i, at in enumerate(rows):  # each row is a sparse product; rows of whole books stay bounded by the columns
-            if len(at):
-                out[i] = self.weights[at].sum(0) / np.sqrt(len(at))
+        full = np.flatnonzero(sizes)
+        room = max(1, BLOCK_BYTES // (4 * max(1, len(self.languages))))
+        block = (np.cumsum(sizes[full]) - 1) // room
+        for own in np.split(full, np.flatnonzero(np.diff(block)) + 1) if len(full) else []:
+            starts = np.cumsum(sizes[own]) - sizes[own]
+            product = np.add.reduceat(self.weights[np.concatenate([rows[i] for i in own])], starts, axis=0)
+            out[own] = product / np.sqrt(sizes[own], dtype=np.float32)[:, None]
         return out + self.intercepts
 
 
@@ -94,10 +102,13 @@ def fit_rows(rows: list[np.ndarray], labels: list[str], landmarks: int, ridge: f
     return Model(languages, weights, w[-1].astype(np.float32))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, landmarks: int = 160, ridge: float = 0.5, max_languages: int = 500) -> Model | None:
-    """Fit on a bounded sample of labelled documents: about per_language of each of at most max_languages languages.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, landmarks: int = 160, ridge: float = 0.5, max_languages: int = 200, max_sample: int = 20_000) -> Model | None:
+    """Fit on a bounded sample of labelled documents: about per_language of each of at most max_languages languages, and
+    max_sample of all; whole texts, whose hashed n-grams (at most 512 kB a document, some kB as a rule) come to the driver.
 
-    None where no document has a language and a text. More languages than max_languages are an error.
+    The weights take 512 kB a language, so max_languages bounds what is broadcast: 100 MB. Each language has a landmark at
+    least. Repeated rows count as often as they stand there, all or none of an id. None where no document has a language
+    and a text. More languages than max_languages are an error.
     """
     small_batches(docs.sparkSession)
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -106,6 +117,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return None
+    per_language = max(1, min(per_language, max_sample // len(counts)))
+    landmarks = max(landmarks, len(counts))
     rate = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, per_language / n))])
     chosen = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 20)) < rate[F.col(lang_col)] * float(1 << 20)
     sample = labelled.filter(chosen).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
