@@ -31,21 +31,32 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some benchmark items: exact, and hashed by length for a fast first look."""
+    """The windows of some benchmark items, as arrays: of each length, the sorted hashes, the words' numbers in that order,
+    and which items hold the window. Some 80 bytes a window of ten words."""
 
     def __init__(self):
         self.vocabulary: dict[bytes, int] = {}
-        self.exact: dict[tuple[int, ...], set] = {}
-        self.hashes: dict[int, np.ndarray] = {}
-
-    def add(self, item, window: list[bytes]) -> None:
-        ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in window)
-        self.exact.setdefault(ids, set()).add(item)
+        self.items: list = []
+        self.rows: dict[int, tuple[list, list]] = {}
+        self.size = 0
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def add(self, item, windows: list[list[bytes]]) -> None:
+        self.items.append(item)
+        for window in windows:
+            ids, own = self.rows.setdefault(len(window), ([], []))
+            ids.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in window], np.uint32))
+            own.append(len(self.items) - 1)
+        self.size += len(windows)
 
     def close(self) -> Windows:
-        for size in {len(w) for w in self.exact}:
-            ids = np.array([w for w in self.exact if len(w) == size], np.uint64)
-            self.hashes[size] = np.unique(self.rolled(ids.T))
+        """Sorted by hash; windows with the same words in the same item count once."""
+        for size, (ids, own) in self.rows.items():
+            whole = np.unique(np.hstack([np.array(ids, np.uint32), np.array(own, np.uint32)[:, None]]), axis=0)
+            hashes = self.rolled(whole[:, :size].T.astype(np.uint64))
+            order = np.argsort(hashes, kind="stable")
+            self.tables[size] = hashes[order], whole[order, :size], whole[order, size]
+        self.rows = {}
         return self
 
     @staticmethod
@@ -58,31 +69,36 @@ class Windows:
     def scan(self, words: list[bytes], hit: np.ndarray, items: set) -> None:
         """Mark in hit the words that occurrences of windows cover; add the items they belong to."""
         n, get = len(words), self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, n)
+        ids = np.fromiter((get(w, 0) for w in words), np.uint32, n)
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-        for size, hashes in self.hashes.items():
+        for size, (hashes, windows, owners) in self.tables.items():
             if n < size:
                 continue
             at = np.flatnonzero(unknown[size:] == unknown[:-size])
             if not len(at):
                 continue
             h = self.rolled([ids[at + i].astype(np.uint64) for i in range(size)])
-            near = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
-            for i in at[near].tolist():
-                if found := self.exact.get(tuple(ids[i : i + size].tolist())):
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            for k in np.flatnonzero(lo < hi).tolist():
+                i = at[k]
+                same = (windows[lo[k] : hi[k]] == ids[i : i + size]).all(1)
+                if same.any():
                     hit[i : i + size] = True
-                    items |= found
+                    items.update(owners[lo[k] : hi[k]][same].tolist())
 
 
 def window_blocks(benchmark: DataFrame, n: int, max_windows: int, item_col: str, text_col: str) -> Iterator[Windows]:
+    """The benchmark's windows in blocks of max_windows; items are read one partition at a time."""
     block = Windows()
     for item, text in benchmark.select(item_col, text_col).toLocalIterator():
         words = words_of((text or "").encode())
-        for i in range(max(1, len(words) - n + 1) if words else 0):
-            if len(block.exact) >= max_windows:
+        windows = [words[i : i + n] for i in range(max(1, len(words) - n + 1) if words else 0)]
+        for at in range(0, len(windows), max_windows):
+            part = windows[at : at + max_windows]
+            if block.size and block.size + len(part) > max_windows:
                 yield block.close()
                 block = Windows()
-            block.add(item, words[i : i + n])
+            block.add(item, part)
     yield block.close()
 
 
@@ -101,12 +117,13 @@ def cut_spans(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_windows: int = 2_000_000, cleaned: bool = False, keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_windows: int = 1_000_000, cleaned: bool = False, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all by default) with n_words, n_hit, n_items, items_sha256, contaminated.
 
     With cleaned also clean_text: the text without the hit spans. items_sha256 is the hash of the ids of the items
     found, sorted as strings and comma-joined. Null and empty texts have no words and no hits; so has every document
-    where the benchmark is empty. Null items are no windows. Repeated rows are judged each for itself. Columns of
+    where the benchmark is empty. Null texts of items are no windows. An item without an id is counted in n_items, all such
+    as one, but isn't in the hash; rows with equal item ids are one item. Repeated rows are judged each for itself. Columns of
     docs that bear a name of the result give way to it.
     """
     spark = docs.sparkSession
@@ -114,7 +131,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "te
     made = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"] + ["clean_text"] * cleaned
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     fields = [docs.schema[c] for c in kept]
-    state = [T.StructField("__text", docs.schema[text_col].dataType), T.StructField("__hit", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))]
+    state = [T.StructField("__text", docs.schema[text_col].dataType), T.StructField("__hit", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType(), True))]
     out = dict(zip(made, [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType(), T.StringType()], strict=False))
     now = docs.select(*kept, docs[text_col].alias("__text"))
     blocks = window_blocks(benchmark, n, max_windows, item_col, item_text_col)
@@ -132,15 +149,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "te
                     words = words_of(text or b"")
                     hit = np.zeros(len(words), bool) if first else np.unpackbits(np.frombuffer(marked, np.uint8), count=len(words)).astype(bool)
                     items: set = set() if first else set(had)
-                    own: set = set()
+                    own: set[int] = set()
                     windows.scan(words, hit, own)
-                    items |= {str(i) for i in own}
+                    items |= {None if (x := windows.items[i]) is None else str(x) for i in own}
                     n_hit = int(hit.sum())
                     if last:
-                        row = [len(words), n_hit, len(items), sha256_hex(",".join(sorted(items)).encode()), n_hit > 0]
+                        row = [len(words), n_hit, len(items), sha256_hex(",".join(sorted(items - {None})).encode()), n_hit > 0]
                         row += [text if not n_hit else cut_spans(text, hit)] * cleaned
                     else:
-                        row = [np.packbits(hit).tobytes(), sorted(items)]
+                        row = [np.packbits(hit).tobytes(), list(items)]
                     for to, x in zip(rows, row, strict=True):
                         to.append(x)
                 if last and cleaned:

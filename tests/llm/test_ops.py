@@ -49,16 +49,16 @@ def brute_hits(text, items, n=10):
         for i in range(len(w) - size + 1 if size else 0):
             if tuple(w[i : i + size]) in windows:
                 hit |= set(range(i, i + size))
-                found.add(str(item))
-    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+                found.add(item)
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(str(x) for x in found if x is not None)).encode()).hexdigest(), bool(hit)
 
 
 @pytest.mark.parametrize("block", [2_000_000, 7])
 def test_decontaminate(spark, block):
     rng = random.Random(1)
-    items = [(i, prose(rng, rng.choice([3, 9, 10, 25]))) for i in range(8)] + [(8, None), (9, ""), (10, "Short One"), (11, "Short One")]
+    items = [(i, prose(rng, rng.choice([3, 9, 10, 25]))) for i in range(8)] + [(8, None), (9, ""), (10, "Short One"), (11, "Short One"), (11, "Short One"), (None, "by no name")]
     texts = [prose(rng, 40) for _ in range(10)]
-    texts += [f"{prose(rng, 5)}. {items[i][1].upper()}! {prose(rng, 5)}" for i in range(8)] + [" ".join(items[3][1].split()[4:19]), "a short-one b"]
+    texts += [f"{prose(rng, 5)}. {items[i][1].upper()}! {prose(rng, 5)}" for i in range(8)] + ["x by no-name y", " ".join(items[3][1].split()[4:19]), "a short-one b"]
     df = docs(spark, texts + ODD, extra=True)
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = by_id(decontaminate.scan(df, bench, max_windows=block))
@@ -394,7 +394,7 @@ def test_language_id(spark):
         language_id.fit(df, max_languages=2)
 
 
-def test_folded_weights_are_the_kernel_machine():
+def test_folded_weights_are_the_kernel_machine(monkeypatch):
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 1 << language_id.BITS, 300) % (5000 if i % 2 else 9000)) for i in range(40)]
     model = language_id.fit_rows(rows, ["a" if i % 2 else "b" for i in range(40)], 10, 0.5)
@@ -406,6 +406,19 @@ def test_folded_weights_are_the_kernel_machine():
     y = np.array([[i % 2, 1 - i % 2] for i in range(40)], float)
     want = phi @ np.linalg.solve(phi.T @ phi + 0.5 * np.eye(phi.shape[1]), phi.T @ y)
     assert np.allclose(model.score(rows), want, atol=1e-3)
+    each = np.array([model.score([x])[0] for x in rows])
+    for size in (1, 5000, 10**9):  # one row a step, a few, all
+        monkeypatch.setattr(language_id, "BLOCK_BYTES", size)
+        assert np.allclose(model.score([*rows, rows[0][:0]])[:-1], each, atol=1e-5)
+    assert np.allclose(model.score([rows[0][:0]]), model.intercepts) and model.score([]).shape == (0, 2)
+
+
+def test_more_languages_than_landmarks(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choices([f"{c}{x}" for x in "abcdefg"], k=30)), f"l{ord(c)}") for i, c in enumerate("qwertyuiop" * 12)]
+    df = spark.createDataFrame([(i, t, lang) for i, t, lang in rows], "doc_id bigint, text string, lang string")
+    model = language_id.fit(df, landmarks=3, max_sample=60)
+    assert language_id.identify(df, model).filter("lang_pred = lang").count() == len(rows)
 
 
 # 8 -------------------------------------------------------------------------------------------------------------------
