@@ -1,14 +1,15 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A text's words (as in decontamination) give shingles of `k` words (fewer words: one shingle of all). The sketch keeps
-every distinct shingle hash below a fixed fraction of the hash range. Sketches of that fraction merge by union, and
-the part of one that lies in another estimates containment however unequal the documents are. A text is written as
+every distinct shingle hash below a fixed fraction of the hash range, and of texts with few such hashes the `LEAST` smallest
+(of shorter texts: all). So a sketch knows all of its text's hashes below its bound: the fraction, or beyond it what the
+least hashes reach. Two sketches are compared below the lower of their bounds, which is fair however unequal the documents
+are; short texts are compared exactly. Sketches merge by union below the lower bound. A text is written as
 
-    <distinct shingles>:<least hash>:<kept hashes, sorted>
+    <distinct shingles>:<bound>:<kept hashes, sorted>
 
-hashes as 8 letters of URL-safe base64 (their upper 48 bits). Likeness is the Jaccard similarity of the kept hashes; where
-neither sketch keeps any (very short texts), whether the least hashes are equal, an unbiased estimate of the same.
-Two texts without words are alike.
+bound and hashes as 8 letters of URL-safe base64 (the hashes' upper 48 bits). Likeness is the Jaccard similarity of what both
+keep below the bound, containment the part of one that the other has. Two texts without words are alike.
 """
 
 from __future__ import annotations
@@ -21,59 +22,70 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kithspark.llm.common import WordHashes, shingle_hashes, small_batches
 from kithspark.llm.decontaminate import words_of
 
+#: Hashes that a sketch keeps at least, if the text has them.
+LEAST = 64
+#: The bound of a sketch that keeps everything.
+ALL = (1 << 48) - 1
 _words = WordHashes()
 
 
 class Sketch:
-    """kept: sorted hashes below the threshold; least: the smallest hash; n: distinct shingles."""
+    """kept: sorted hashes below bound, all of them that the text has; n: its distinct shingles."""
 
-    __slots__ = ("n", "least", "kept")
+    __slots__ = ("n", "bound", "kept")
 
-    def __init__(self, n: int, least: int, kept: np.ndarray):
-        self.n, self.least, self.kept = n, least, kept
+    def __init__(self, n: int, bound: int, kept: np.ndarray):
+        self.n, self.bound, self.kept = n, bound, kept
 
     @classmethod
     def of(cls, text: bytes, fraction: float, k: int) -> Sketch:
-        h = np.unique(shingle_hashes(_words.of(words_of(text)), k)) >> np.uint64(16)
-        return cls(len(h), int(h[0]) if len(h) else 0, h[: np.searchsorted(h, np.uint64(int(fraction * (1 << 48))))])
+        h = np.unique(shingle_hashes(_words.of(words_of(text)), k) >> np.uint64(16))
+        if len(h) <= LEAST:
+            return cls(len(h), ALL, h)
+        bound = max(int(fraction * (1 << 48)), int(h[LEAST]))
+        return cls(len(h), bound, h[: np.searchsorted(h, np.uint64(bound))])
+
+    def below(self, bound: int) -> np.ndarray:
+        return self.kept if bound >= self.bound else self.kept[: np.searchsorted(self.kept, np.uint64(bound))]
 
     def merge(self, other: Sketch) -> Sketch:
         """The sketch of both texts together; n becomes an upper bound."""
-        least = min((s.least for s in (self, other) if s.n), default=0)
-        return Sketch(self.n + other.n, least, np.union1d(self.kept, other.kept))
+        bound = min(self.bound, other.bound)
+        return Sketch(self.n + other.n, bound, np.union1d(self.below(bound), other.below(bound)))
 
-    def shared(self, other: Sketch) -> int:
-        return len(np.intersect1d(self.kept, other.kept, assume_unique=True))
+    def _compare(self, other: Sketch) -> tuple[int, int, int]:
+        """Hashes below both bounds of this one, of the other, of both."""
+        bound = min(self.bound, other.bound)
+        a, b = self.below(bound), other.below(bound)
+        return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))
 
     def likeness(self, other: Sketch) -> float:
         if not self.n or not other.n:
             return float(self.n == other.n)
-        if not len(self.kept) and not len(other.kept):
-            return float(self.least == other.least)
-        both = self.shared(other)
-        return both / (len(self.kept) + len(other.kept) - both)
+        a, b, both = self._compare(other)
+        return both / (a + b - both) if a + b else 0.0
 
     def containment(self, other: Sketch) -> float:
-        """The estimated part of this text's shingles that the other has."""
+        """The estimated part of this text's shingles that the other has; 0 where none lies below both bounds."""
         if not self.n:
             return 1.0
-        if not len(self.kept):
-            return float(self.least == other.least)
-        return self.shared(other) / len(self.kept)
+        a, _, both = self._compare(other)
+        return both / a if a else 0.0
 
     def __str__(self) -> str:
-        packed = np.concatenate(([np.uint64(self.least)], self.kept)).astype(">u8")
+        packed = np.concatenate(([np.uint64(self.bound)], self.kept)).astype(">u8")
         letters = base64.urlsafe_b64encode(packed.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode()
         return f"{self.n}:{letters[:8]}:{letters[8:]}"
 
     @classmethod
     def read(cls, written: str) -> Sketch:
-        n, least, kept = written.split(":")
-        raw = np.frombuffer(base64.urlsafe_b64decode(least + kept), np.uint8).reshape(-1, 6)
+        n, bound, kept = written.split(":")
+        raw = np.frombuffer(base64.urlsafe_b64decode(bound + kept), np.uint8).reshape(-1, 6)
         h = np.zeros((len(raw), 8), np.uint8)
         h[:, 2:] = raw
         h = h.reshape(-1).view(">u8").astype(np.uint64)
@@ -81,7 +93,11 @@ class Sketch:
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = 0.125, k: int = 5) -> DataFrame:
-    """id_col and fingerprint of every whole text; null text counts as empty. A map over rows, without a shuffle."""
+    """id_col and fingerprint of every whole text. A map over rows, without a shuffle.
+
+    Null text counts as empty. Null and repeated ids and repeated rows keep a row each, with equal fingerprints for equal
+    texts. Other columns aren't read, so they may bear any name. An empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -93,47 +109,59 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def _ranges(docs: DataFrame, id_col: str, parts: int) -> tuple[list[int], dict[int, int | None], int | None]:
-    """Bounds of id ranges, each range's first id (by range), and the first id of all; one number a range."""
-    ids = docs.select(F.col(id_col).cast("bigint").alias("id"))
-    cuts = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
-    bounds = sorted(set(cuts or []))
-    firsts = dict(ids.groupBy(_range_of(F.col("id"), bounds).alias("r")).agg(F.min("id")).collect())
-    return bounds, firsts, min((v for v in firsts.values() if v is not None), default=None)
+Place = tuple  # (id, hash of the text): what documents are ordered by
+
+
+def _ranges(docs: DataFrame, id_col: str, text_col: str, parts: int) -> list[Place]:
+    """The first place of each of up to `parts` even ranges, in order; a row a range."""
+    places = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    even = places.repartitionByRange(parts, F.col("id").asc_nulls_first(), "h")
+    firsts = even.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "h")).alias("first"))
+    return [(r["first"]["id"], r["first"]["h"]) for r in sorted(firsts.collect(), key=lambda r: r["part"])]
+
+
+def _before(place: Place, kind: T.DataType):
+    """Whether a row's place (id, h) comes before this one."""
+    id_, h = place
+    if id_ is None:
+        return F.col("id").isNull() & (F.col("h") < h)
+    value = F.lit(id_).cast(kind)
+    return F.col("id").isNull() | (F.col("id") < value) | ((F.col("id") == value) & (F.col("h") < h))
 
 
-def _range_of(column, bounds: list[int]):
-    """How many bounds are at most the id; a balanced tree of comparisons. Null ids come first."""
+def _range_of(firsts: list[Place], kind: T.DataType):
+    """The number of the range that a row's place lies in: a balanced tree of comparisons."""
 
     def tree(lo: int, hi: int):
         if lo == hi:
             return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        mid = (lo + hi + 1) // 2
+        return F.when(_before(firsts[mid], kind), tree(lo, mid - 1)).otherwise(tree(mid, hi))
 
-    return F.when(column.isNull(), F.lit(0)).otherwise(tree(0, len(bounds))) if bounds else F.lit(0)
+    return tree(0, len(firsts) - 1)
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int, handle, schema: str) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int, handle, schema: T.StructType) -> DataFrame:
     """handle(rows with each its next row) over docs in ascending id; after the last comes the first.
 
-    Texts are shuffled once, to ranges of ids. A range also gets the rows with the first id of the next range (and the
-    last range those of the first), so each row meets its next one in its own task. Equal ids go by the text's hash.
+    Texts are shuffled once, to even ranges of (id, hash of the text), so neither null nor repeated ids meet in one task.
+    The first row of a range is also sent to the range before it (that of the first range to the last), so each row
+    meets its next one in its own task.
     """
-    bounds, firsts, _ = _ranges(docs, id_col, parts)
-    used = sorted(firsts)
-    if not used:
+    firsts = _ranges(docs, id_col, text_col, parts)
+    if not firsts:
         return docs.sparkSession.createDataFrame([], schema)
-    after = {used[i - 1]: r for i, r in enumerate(used)}
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("own", _range_of(F.col("id"), bounds))
-    before = {r: b for b, r in after.items()}
-    heads = F.create_map(*[F.lit(x) for r in used for x in (r, firsts[r])]) if any(v is not None for v in firsts.values()) else None
-    is_first = F.col("id").isNull() if heads is None else F.when(F.col("own") == used[0], F.col("id").eqNullSafe(heads[F.col("own")]) | F.col("id").isNull()).otherwise(F.col("id") == heads[F.col("own")])
-    to = F.create_map(*[F.lit(x) for r in used for x in (r, before[r])])[F.col("own")]
-    rows = rows.withColumn("__to", F.when(is_first, F.array(F.struct(F.col("own").alias("r"), F.lit(0).alias("extra")), F.struct(to.alias("r"), F.lit(1).alias("extra")))).otherwise(F.array(F.struct(F.col("own").alias("r"), F.lit(0).alias("extra")))))
-    rows = rows.select("id", "text", F.explode("__to").alias("t")).select("id", "text", "t.r", "t.extra")
-    placed = rows.repartitionById(len(bounds) + 1, F.col("r")).sortWithinPartitions("r", "extra", F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
+    kind = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("own", _range_of(firsts, kind))
+    # a range's first place, by its number; rows with the same id and text are alike, so each may go along
+    first_id = F.get(F.array(*[F.lit(i).cast(kind) for i, _ in firsts]), F.col("own"))
+    is_first = F.col("id").eqNullSafe(first_id) & (F.col("h") == F.get(F.array(*[F.lit(h) for _, h in firsts]), F.col("own")))
+    before = F.pmod(F.col("own") + F.lit(len(firsts) - 1), F.lit(len(firsts)))
+    at = lambda r, extra: F.struct(r.alias("r"), F.lit(extra).alias("extra"))
+    rows = rows.select("id", "text", "h", F.explode(F.when(is_first, F.array(at(F.col("own"), 0), at(before, 1))).otherwise(F.array(at(F.col("own"), 0)))).alias("t"))
+    rows = rows.select("id", "text", "t.r", "t.extra", "h")
+    placed = rows.repartitionById(len(firsts), F.col("r")).sortWithinPartitions("r", "extra", F.col("id").asc_nulls_first(), "h", "text").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None
@@ -145,7 +173,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int, handle, s
                     waiting = None
                 if not extra:
                     waiting = (id_, text, r)
-            yield from handle(done)
+            yield from handle(done, b.schema.field(0).type)
 
     return placed.mapInArrow(run, schema)
 
@@ -156,14 +184,15 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text has its last quarter (floor) of code points replaced by the first as many, or all, of the next
     document by ascending id; after the last document comes the first. Columns: id_col, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next (likeness, 0 to 1), and contained_edited (the part of the
-    document that its edited text contains). Null text counts as empty; null ids come first; rows with equal ids go by
-    the text's hash. A lone document is its own next one. Other columns aren't read. An empty table gives no rows.
+    document that its edited text contains). Ids are of any type that can be ordered. Null text counts as empty; null ids
+    come first; rows with equal ids go by the text's hash, repeated rows follow each other. A lone document is its own next
+    one. Other columns aren't read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
-    def handle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def handle(rows: list[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         last, c = None, None
         for id_, text, following in rows:
@@ -174,9 +203,11 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             b = a if edited == text.encode() else Sketch.of(edited, fraction, k)
             c, last = Sketch.of(following.encode(), fraction, k), following
             out.append((id_, len(text), hashlib.sha256(edited).hexdigest(), str(a), str(b), a.likeness(b), a.likeness(c), a.containment(b)))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
+        kinds = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
         names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited"]
         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names)
 
-    schema = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double"
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)])
+    for name, kind in [("n_chars", "long"), *[(c, "string") for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], *[(c, "double") for c in ("near_edited", "near_next", "contained_edited")]]:
+        schema.add(name, kind)
     return with_next(docs, id_col, text_col, parts, handle, schema).withColumnRenamed("id", id_col)

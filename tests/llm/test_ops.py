@@ -110,9 +110,51 @@ def test_sketch_estimates():
     assert b.containment(a) == 1 and abs(a.containment(b) - 0.2) < 0.03 and abs(a.likeness(b) - 0.2) < 0.03
     assert a.merge(b).likeness(a) == 1 and str(fingerprint.Sketch.read(str(a))) == str(a)
     assert len(base64.urlsafe_b64decode(str(a).split(":")[2])) == 6 * len(a.kept)
+    merged = fingerprint.Sketch.of(" ".join(big[:30]).encode(), 0.125, k).merge(a)
+    assert merged.bound == a.bound and len(merged.kept) >= len(a.kept)
     assert fingerprint.Sketch.of(b"", 0.1, k).likeness(fingerprint.Sketch.of(b"", 0.1, k)) == 1 and fingerprint.Sketch.of(b"", 0.1, k).likeness(a) == 0
 
 
+def jaccard_of_shingles(a, b, k=5):
+    sets = []
+    for t in (a, b):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_likeness_against_brute_force(spark):
+    """Exact where both texts have at most LEAST shingles; an estimate of the true similarity beyond, by size."""
+    import os
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    texts = [r["text"] or "" for r in spark.read.parquet(path).orderBy("doc_id").collect()]
+    rows = fingerprint.fingerprint_edits(spark.read.parquet(path)).orderBy("doc_id").collect()
+    off = {"few": [], "many": []}
+    for i, r in enumerate(rows):
+        t, following = texts[i], texts[(i + 1) % len(texts)]
+        q = len(t) // 4
+        for other, got in ((t[: len(t) - q] + following[:q], r["near_edited"]), (following, r["near_next"])):
+            off["few" if max(len(t.split()), len(other.split())) <= fingerprint.LEAST else "many"].append(abs(got - jaccard_of_shingles(t, other)))
+    assert max(off["few"]) < 1e-9 and np.mean(off["many"]) < 0.03 and max(off["many"]) < 0.3
+
+
+def test_fingerprint_ids_of_any_type(spark):
+    texts = ["a b c d e f g h", "b", None, "c d", "c d", ""]
+    ids = ["x", "k10", None, "k9", None, "k9"]
+    for cast in ("string", "date", "decimal(20,0)"):
+        own = ids if cast == "string" else [None if i is None else {"x": "9", "k10": "1", "k9": "2"}[i] for i in ids]
+        own = own if cast != "date" else [i and f"2020-01-0{i}" for i in own]
+        df = spark.createDataFrame(list(zip(own, texts, strict=True)), "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(cast))
+        got = fingerprint.fingerprint_edits(df, parts=3)
+        assert got.schema["doc_id"].dataType == df.schema["doc_id"].dataType and got.count() == len(ids)
+        r = got.filter("n_chars = 8 * 2 - 1").first()  # the last one: the first, a null id, comes after it
+        first = min((xxhash.xxh64_intdigest(b"c d", 42) ^ 1 << 63, "c d"), (42 ^ 1 << 63, ""))[1]
+        assert r["edited_sha256"] == hashlib.sha256((texts[0][:-3] + first[:3]).encode()).hexdigest()
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 PARAS = ["The first paragraph is about a thing of some length, so that its density is high.", "The second one says more & more about the same thing, with a link inside.", "Short."]
 PAGES = {
