@@ -7,8 +7,8 @@
    sequence; smaller ones, largest first, go to the fullest sequence that has room, and to a new one where none has.
    The plan treats equal lengths as a run of ranks, so each of its slots is one row: length, ranks, first sequence,
    offset.
-3. A piece's rank among those of its length is a row number within (length, salt) plus the count of lower salts, so
-   that a length with a third of all rows is spread; slots are looked up by rank.
+3. A piece's rank among those of its length is a row number within (length, salt) plus the count of lower salts. A length
+   has as many salts as its pieces ask for, so one with a third of all rows is spread; slots are looked up by rank.
 
 The ids of what stands between spaces are kept in a bounded table per Python worker. A text outside the alphabet for which the pre-token
 pattern below is exact, or with a special token's string, is encoded by the library as a whole.
@@ -38,9 +38,28 @@ _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\sa-z
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _WRITTEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _encoders: dict[str, WordEncoder] = {}
+#: Pieces of one length and salt, which are sorted in one task: about so many.
+GROUP = 50_000
 PIECES = "doc bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+def _known(spec: dict) -> bool:
+    """Whether encoding pre-token by pre-token, as below, is what the vocabulary's own steps do: NFC, white space to one
+    space, lower case; the pattern; bytes; plain merges; nothing after them. Else the library encodes whole texts."""
+    normal, steps, model = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers", []), spec["model"]
+    norms = [(n.get("type"), (n.get("pattern") or {}).get("Regex"), n.get("content")) for n in normal.get("normalizers", [])]
+    return (
+        norms == [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]
+        and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        and steps[0].get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
+        and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+        and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "fuse_unk", "byte_fallback", "ignore_merges"))
+        and spec.get("post_processor") is None and not spec.get("truncation") and not spec.get("padding")
+        and all(not t["normalized"] and t["content"] == t["content"].lower() and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    )
+
+
 class WordEncoder:
     """Ids of a tokenizers vocabulary whose pre-tokens are encoded one by one."""
 
@@ -56,9 +75,7 @@ class WordEncoder:
             spec = json.load(f)
         self.special = tuple(t["content"] for t in spec["added_tokens"])
         self.merges = self.model.model
-        steps = spec["pre_tokenizer"].get("pretokenizers", [{}])
-        pattern = steps[0].get("pattern", {}).get("Regex") if [s.get("type") for s in steps] == ["Split", "ByteLevel"] else None
-        self.by_word = pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and spec["post_processor"] is None
+        self.by_word = _known(spec)
         self.chunks = ChunkIds(self)
 
     def encode(self, texts: list[str], end: bytes) -> list[np.ndarray]:
@@ -209,29 +226,45 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return out, sequences
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False, group: int = GROUP) -> DataFrame:
     """Pack all of docs into as few sequences of at most `capacity` tokens as best fit finds.
 
     Per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset (and input_ids with with_ids). Null and
     empty texts are a single end token. Rows with equal or null ids are packed each for itself. Other columns of docs
-    aren't read. Ties in length go by id, then piece. An empty table gives no rows.
+    aren't read. Ties in length go by salt, id, then piece. An empty table gives no rows.
     """
     spark = docs.sparkSession
     own = cut(pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, with_ids))
-    salted = own.withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc, piece, ids_crc32), {salts}) as int)"))
-    counted = salted.groupBy("length", "salt").count().collect()  # at most capacity x salts rows
-    below = np.zeros((capacity + 1, salts), np.int64)
-    for length, salt, n in counted:
-        below[length, salt] = n
-    slots, _ = plan({int(n): int(c) for n, c in enumerate(below.sum(1)) if c}, capacity)
+    counts = {r["length"]: r["count"] for r in own.groupBy("length").count().collect()}  # at most capacity rows
+    # a length of many pieces is dealt out by salts, some `group` pieces each: as many as the rows ask for
+    salts = {n: -(-c // group) for n, c in counts.items() if c > group}
+    salt = F.lit(0)
+    if salts:
+        few = spark.createDataFrame(list(salts.items()), "length bigint, salts int")
+        own = own.join(F.broadcast(few), "length", "left").select(*own.columns, F.coalesce("salts", F.lit(1)).alias("salts"))
+        salt = F.expr("cast(pmod(xxhash64(doc, piece, ids_crc32), salts) as int)")
+    salted = own.withColumn("salt", salt).drop("salts")
+    slots, _ = plan(counts, capacity)
     firsts = np.searchsorted(slots[:, 0], np.arange(capacity + 2))
-    shared = spark.sparkContext.broadcast((np.cumsum(below, 1) - below, slots, firsts))
+    # how many pieces of a length have a lower salt: a number for each of the salts, some rows / group in all
+    start = np.zeros(capacity + 2, np.int64)
+    for n in counts:
+        start[n + 1] = salts.get(n, 1)
+    start = np.cumsum(start)
+    below = np.zeros(start[-1], np.int64)
+    if salts:
+        for r in salted.filter(F.col("length").isin(list(salts))).groupBy("length", "salt").count().collect():
+            below[start[r["length"]] + r["salt"]] = r["count"]
+    for n, k in salts.items():
+        own_counts = below[start[n] : start[n] + k]
+        own_counts[:] = np.cumsum(own_counts) - own_counts
+    shared = spark.sparkContext.broadcast((start, below, slots, firsts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, slot, first = shared.value
+        start, below, slot, first = shared.value
         for b in batches:
             length = b.column("length").to_numpy(zero_copy_only=False)
-            rank = before[length, b.column("salt").to_numpy(zero_copy_only=False)] + b.column("rank").to_numpy(zero_copy_only=False) - 1
+            rank = below[start[length] + b.column("salt").to_numpy(zero_copy_only=False)] + b.column("rank").to_numpy(zero_copy_only=False) - 1
             at = np.empty(len(length), np.int64)
             for n in np.unique(length):
                 own = length == n
@@ -241,7 +274,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             keep = [b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(hit[:, 3] + rank - hit[:, 1]), pa.array(hit[:, 4])], [*names, "sequence_id", "offset"])
 
-    names = own.columns
+    names = [c for c in own.columns if c != "salts"]
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc", "piece", "ids_crc32")).cast("bigint"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + ", sequence_id bigint, offset bigint"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name != "salts") + ", sequence_id bigint, offset bigint"
     return few_files(ranked).mapInArrow(run, schema).withColumnRenamed("doc", id_col)

@@ -365,14 +365,15 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(docs(spark, ["a"]).limit(0), P.path("piece_bpe_32k.model")).count() == 0
 
 
-def test_pack(spark):
+@pytest.mark.parametrize("group", [packing.GROUP, 3])
+def test_pack(spark, group):
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
     rng = random.Random(7)
     texts = ODD + TOKEN_TEXTS + fuzz(300) + [prose(rng, rng.randint(1, 3000)) for _ in range(40)]
-    rows = packing.pack(docs(spark, texts, extra=True), path, with_ids=True).collect()
+    rows = packing.pack(docs(spark, texts, extra=True), path, with_ids=True, group=group).collect()
     mine = {}
     for r in rows:
         mine.setdefault(r["doc_id"], {})[r["piece"]] = r
@@ -397,6 +398,32 @@ def test_pack(spark):
     assert packing.pack(docs(spark, ["a"]).limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("change", ["none", "normalizer", "model", "split", "special"])
+def test_other_vocabularies(tmp_path, change):
+    """Steps that the fast way doesn't follow are left to the library."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(P.path("word_bpe_49k.json"), encoding="utf-8"))
+    if change == "normalizer":
+        spec["normalizer"] = {"type": "NFC"}
+    elif change == "model":
+        spec["model"]["ignore_merges"] = True
+    elif change == "split":
+        spec["pre_tokenizer"]["pretokenizers"][1]["use_regex"] = True
+    elif change == "special":
+        spec["added_tokens"][0]["content"] = "Two Words"
+        spec["model"]["vocab"]["Two Words"] = spec["model"]["vocab"].pop("<|startoftext|>", 49406)
+    path = str(tmp_path / "v.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    encoder, library = packing.WordEncoder(path), Tokenizer.from_file(path)
+    assert encoder.by_word == (change == "none")
+    for t in ["Some UPPER words, don't  stop 123", "a Two Words b", *TOKEN_TEXTS]:
+        assert encoder.encode([t], b"")[0].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan(seed):
     rng = random.Random(seed)
