@@ -62,50 +62,72 @@ def classes(templates: dict[str, str]) -> list[tuple[int, int, dict[str, list[st
     return out
 
 
-def _shingle_array(tokens: str, size: int) -> str:
-    """SQL for the hashes of the runs of `size` words of the array `tokens`; none of a shorter array."""
+def _hashes(tokens: str, size: int) -> str:
+    """SQL for the hashes of the runs of `size` words of the array `tokens`; of a shorter array, that of all of it."""
     return f"transform(sequence(1, greatest(size({tokens}) - {size - 1}, 1)), i -> xxhash64(slice({tokens}, i, {size})))"
 
 
 def _least(hashes: str) -> str:
-    """SQL for the least value of each of the BANDS hash functions over an array of hashes, tagged by band."""
+    """SQL for the least value of each of the BANDS hash functions over an array of hashes."""
     return f"transform(sequence(1, {BANDS}), b -> array_min(transform({hashes}, h -> xxhash64(h, b))))"
 
 
+def _literal(values: list[int]) -> str:
+    return "array(" + ", ".join(f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)" for x in values) + ")"
+
+
+def _found_in_class(width: int, stride: int, size: int, templates: list, least: float) -> str:
+    """SQL for the templates (number, hashes, bands) of a class that windows hold: their number t and windows' shares c.
+
+    It stands where `hashes` are bound to a document's shingles and `every` to each band's hashes of these.
+    """
+    inner = width - size + 1
+    windows = f"transform(sequence(1, size(hashes), {stride}), at -> struct(slice(hashes, at, {inner}) as hashes, transform(every, b -> array_min(slice(b, at, {inner}))) as bands))"
+    hits = []
+    for number, exact, bands in templates:
+        near = f"filter(windows, w -> arrays_overlap(w.bands, {_literal(bands)}))"
+        share = f"transform({near}, w -> size(array_intersect({_literal(exact)}, w.hashes)) / cast({len(exact)} as double))"
+        hits.append(f"struct({number} as t, filter({share}, c -> c >= {least}D) as c)")
+    return f"get(transform(array({windows}), windows -> filter(array({', '.join(hits)}), f -> size(f.c) > 0)), 0)"
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """A row per document and license found in it: id_col, license, containment (the best window's), n_windows.
 
     Whole texts are scanned. Null and empty texts hold no license. Rows with equal ids count as one document, a null id
-    too. Other columns aren't read. An empty table gives no rows. Templates are few: they are literals of the plan.
+    too; the windows of repeated rows add up. Other columns aren't read. An empty table gives no rows. Templates are few:
+    they are literals of the plan. One without a word is found nowhere, and without templates there are no rows; licenses
+    with the same text are both found.
     """
     spark = docs.sparkSession
-    templates = TEMPLATES if templates is None else templates
+    given = templates is not None
+    templates = {name: t for name, t in (TEMPLATES if templates is None else templates).items() if words(t)}
+    names = sorted(templates)
+    schema = docs.select(F.col(id_col)).schema.add("license", "string").add("containment", "double").add("n_windows", "long")
+    if not templates:
+        return spark.createDataFrame([], schema)
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    anchor = F.lit(False)
-    for word in ANCHORS if templates is TEMPLATES else [""]:
-        anchor = anchor | F.contains(text, F.lit(word))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).filter(anchor)
-    tokens = rows.select("id", F.expr("filter(split(text, '[^a-z0-9]+'), w -> w != '')").alias("words"))
-    array = lambda xs: "array(" + ", ".join(f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)" for x in xs) + ")"
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    if not given:
+        anchor = F.lit(False)
+        for word in ANCHORS:
+            anchor = anchor | F.contains("text", F.lit(word))
+        rows = rows.filter(anchor)
+    rows = rows.select("id", F.expr("filter(split(text, '[^a-z0-9]+'), w -> w != '')").alias("words"))
+    own = spark.createDataFrame([(names.index(name), min(SHINGLE, len(words(t))), words(t)) for name, t in templates.items()], "t int, k int, words array<string>")
+    lookup = own.select("t", F.expr(f"array_distinct(case k {' '.join(f'when {k} then {_hashes("words", k)}' for k in range(1, SHINGLE + 1))} end)").alias("hashes"))
+    lookup = {r["t"]: (r["t"], r["hashes"], r["bands"]) for r in lookup.withColumn("bands", F.expr(_least("hashes"))).collect()}  # a row per template
+    # of each shingle size, the shingles and each band's hashes are bound once per document for all its classes
     found = []
-    rows = tokens
-    for c, (width, stride, own) in enumerate(classes(templates)):
-        size = min(SHINGLE, min(len(t) for t in own.values()))
-        lookup = spark.createDataFrame([(name, t) for name, t in own.items()], "license string, words array<string>")
-        lookup = lookup.select("license", F.expr(f"array_distinct({_shingle_array('words', size)})").alias("hashes")).withColumn("bands", F.expr(_least("hashes")))
-        # each hash function is applied once per document; windows take the least value of slices
-        rows = rows.withColumn("hashes", F.expr(_shingle_array("words", size)))
-        all_hashes = f"transform(sequence(1, {BANDS}), b -> transform(hashes, h -> xxhash64(h, b)))"
-        inner = width - size + 1
-        least_of = f"transform(all, b -> array_min(slice(b, at, {inner})))"
-        rows = rows.withColumn("windows", F.expr(f"get(transform(array({all_hashes}), all -> transform(sequence(1, size(hashes), {stride}), at -> struct(slice(hashes, at, {inner}) as hashes, {least_of} as bands))), 0)"))
-        hits = []
-        for name, exact, bands in lookup.collect():  # a row per template
-            near = f"filter(windows, w -> arrays_overlap(w.bands, {array(bands)}))"
-            share = f"transform({near}, w -> size(array_intersect({array(exact)}, w.hashes)) / cast({len(exact)} as double))"
-            hits.append(f"struct('{name}' as license, filter({share}, c -> c >= {least}) as c)")
-        rows = rows.withColumn(f"found{c}", F.expr(f"filter(array({', '.join(hits)}), f -> size(f.c) > 0)")).select("id", "words", *[f"found{i}" for i in range(c + 1)])
-        found.append(f"found{c}")
-    hits = rows.select("id", F.inline(F.concat(*found))).select("id", "license", F.array_max("c").alias("containment"), F.size("c").cast("bigint").alias("n_windows"))
-    best = hits.groupBy("id", "license").agg(F.max("containment").alias("containment"), F.sum("n_windows").alias("n_windows"))
-    return best.withColumnRenamed("id", id_col)
+    by_size: dict[int, list[str]] = {}
+    for width, stride, members in classes(templates):
+        size = min(SHINGLE, min(map(len, members.values())))
+        by_size.setdefault(size, []).append(_found_in_class(width, stride, size, [lookup[names.index(name)] for name in members], least))
+    for size, parts in by_size.items():
+        every = f"transform(sequence(1, {BANDS}), b -> transform(hashes, h -> xxhash64(h, b)))"
+        found.append(f"get(transform(array({_hashes('words', size)}), hashes -> get(transform(array({every}), every -> concat({', '.join(parts)})), 0)), 0)")
+    hits = rows.filter("size(words) > 0").select("id", F.inline(F.expr(f"concat({', '.join(found)})")))
+    hits = hits.select("id", "t", F.array_max("c").alias("containment"), F.size("c").cast("bigint").alias("n_windows"))
+    best = hits.groupBy("id", "t").agg(F.max("containment").alias("containment"), F.sum("n_windows").alias("n_windows"))
+    named = F.get(F.array(*map(F.lit, names)), F.col("t"))
+    return best.select(F.col("id").alias(id_col), named.alias("license"), "containment", "n_windows")

@@ -552,6 +552,22 @@ def test_licenses(spark):
     assert not re.search("Python|Pandas|Arrow", license_scan.scan(docs(spark, ["a"]))._jdf.queryExecution().toString())
 
 
+def test_license_templates(spark):
+    rng = random.Random(12)
+    own = {"no words": " ... ", "it's \"quoted\" \\ one": "you may keep it's parts", "short": "keep", "long": prose(rng, 60), "long again": ""}
+    own["long again"] = own["long"]
+    texts = ["x", f"{prose(rng, 40)} {own['long']} {prose(rng, 9)}", "You may KEEP it's parts", "keep", None, "", "..."]
+    df = docs(spark, texts, extra=True).unionByName(docs(spark, texts, extra=True).filter("doc_id = 3"))
+    got = {(r["doc_id"], r["license"]): (r["containment"], r["n_windows"] > 0) for r in license_scan.scan(df, templates=own).collect()}
+    assert got == {(1, "long"): (1, True), (1, "long again"): (1, True), (2, 'it\'s "quoted" \\ one'): (1, True), (2, "short"): (1, True), (3, "short"): (1, True)}
+    half = own["long"].split()
+    less = docs(spark, [" ".join(half[:40])])
+    assert license_scan.scan(less, templates=own).count() == 0 and license_scan.scan(less, templates=own, least=0.5).count() == 2
+    for empty in ({}, {"no words": "!"}):
+        none = license_scan.scan(df, templates=empty)
+        assert none.count() == 0 and none.columns == ["doc_id", "license", "containment", "n_windows"]
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 def brute_components(texts, k=3, percent=90):
     sets = []
