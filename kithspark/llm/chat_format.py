@@ -21,7 +21,12 @@ def _clean(text: F.Column) -> F.Column:
 
 
 def turns_of(conversations: DataFrame, key: F.Column, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """key, turns: each conversation's turns in order, with what is rendered of each before, in and after the trained part."""
+    """pair, conv, turns: each conversation's turns in order (turn, role, text).
+
+    Turns with equal numbers go by role, then text; repeated rows are turns of their own; a null turn number comes first.
+    Null roles and texts count as empty. Other columns aren't read. One conversation becomes one row, so its own length is
+    the only bound on a row. An empty table gives no rows.
+    """
     role, text = _clean(F.col(role_col)), _clean(F.col(text_col))
     turn = F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
     rows = conversations.select(F.col(conv_col).alias("conv"), key.alias("pair"), turn.alias("t"))
@@ -54,7 +59,11 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     a null pair. More than one conversation on a side: each is paired with each of the other side. An empty table gives
     no rows. One conversation becomes one row, so its own length is the only bound on a row.
     """
-    both = chosen.select("pair", F.col("turns").alias("c")).join(rejected.select("pair", F.col("turns").alias("r")), "pair")
+    return _formatted(chosen.select("pair", F.col("turns").alias("c")).join(rejected.select("pair", F.col("turns").alias("r")), "pair"))
+
+
+def _formatted(both: DataFrame) -> DataFrame:
+    """The preferences of rows (pair, c, r): chosen and rejected turns."""
     same = F.zip_with("c", "r", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))
     first_other = F.array_position(same, False)
     both = both.withColumn("n", F.when(first_other == 0, F.size(same)).otherwise(first_other - 1).cast("int"))
@@ -67,9 +76,19 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
-def pair_neighbours(conversations: DataFrame, conv_col: str = "conv_id", **columns) -> DataFrame:
-    """Preferences from a plain table: conversation 2 i is the chosen one of pair i, 2 i + 1 the rejected one."""
-    known = conversations.filter(F.col(conv_col).isNotNull())
-    turns = turns_of(known, F.floor(F.col(conv_col) / F.lit(2)).cast("bigint"), conv_col, **columns)
-    even = F.pmod("conv", F.lit(2)) == 0
-    return format_preferences(turns.filter(even), turns.filter(~even))
+def pair_answers(conversations: DataFrame, conv_col: str = "conv_id", **columns) -> DataFrame:
+    """Preferences from a plain table: of every conversation, its own last turn is chosen, and its neighbour's is rejected.
+
+    Neighbours are conversations 2 i and 2 i + 1. The rejected side is the whole conversation with its last turn's role and
+    text replaced by those of the neighbour's last turn. pair is the conversation's id. A conversation without a neighbour
+    and one without an id have no row. Otherwise as format_preferences().
+    """
+    conv = F.col(conv_col).cast("bigint")
+    turns = turns_of(conversations.filter(conv.isNotNull()), conv, conv_col, **columns)
+    even = F.pmod("pair", F.lit(2)) == 0
+    lasts = turns.select(F.when(even, F.col("pair") + 1).otherwise(F.col("pair") - 1).alias("pair"), F.element_at("turns", -1).alias("last"))
+    # chosen and rejected are made of the same row, so the turns are gathered and joined once
+    both = turns.join(lasts, "pair")
+    other = F.struct(F.element_at("turns", -1)["turn"].alias("turn"), F.col("last")["role"].alias("role"), F.col("last")["text"].alias("text"))
+    replaced = F.concat(F.slice("turns", F.lit(1), F.size("turns") - 1), F.array(other))
+    return _formatted(both.select("pair", F.col("turns").alias("c"), replaced.alias("r")))

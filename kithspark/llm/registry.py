@@ -54,7 +54,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.pair_neighbours(table(spark, sf_dir, "conversations")).withColumnRenamed("pair", "pair_id")
+    return chat_format.pair_answers(table(spark, sf_dir, "conversations")).withColumnRenamed("pair", "pair_id")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,34 +93,31 @@ FROM doc LEFT JOIN hit ON doc.doc_id = hit.doc_id LEFT JOIN found ON doc.doc_id
 
 OP8_SQL = r"""
 WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 = 1 AS rejected, replace(coalesce(role, ''), '<|', '< |') AS role,
-         replace(coalesce(text, ''), '<|', '< |') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
-r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, rejected ORDER BY turn, role, text) AS i FROM t),
-c AS (SELECT * FROM r WHERE NOT rejected), j AS (SELECT * FROM r WHERE rejected),
-pair AS (SELECT DISTINCT c.pair_id FROM c SEMI JOIN j USING (pair_id)),
+  SELECT conv_id AS pair_id, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY pair_id) AS n_turns FROM t),
+answer AS (SELECT CASE WHEN pair_id % 2 = 0 THEN pair_id + 1 ELSE pair_id - 1 END AS pair_id, role, text FROM r WHERE i = n_turns),
+c AS (SELECT r.* FROM r SEMI JOIN answer USING (pair_id)),
+side AS (
+  SELECT pair_id, false AS rejected, i, role, text FROM c UNION ALL
+  SELECT c.pair_id, true, i, CASE WHEN i = n_turns THEN a.role ELSE c.role END, CASE WHEN i = n_turns THEN a.text ELSE c.text END
+  FROM c JOIN answer a ON a.pair_id = c.pair_id),
 other AS (
-  SELECT coalesce(c.pair_id, j.pair_id) AS pair_id, min(coalesce(c.i, j.i)) AS i
-  FROM c FULL JOIN j ON c.pair_id = j.pair_id AND c.i = j.i
-  WHERE (c.role = j.role AND c.text = j.text) IS NOT TRUE GROUP BY 1),
-longest AS (SELECT pair_id, count(*) AS n FROM c GROUP BY pair_id),
-prefix AS (SELECT pair_id, coalesce(o.i - 1, n) AS n FROM pair JOIN longest USING (pair_id) LEFT JOIN other o USING (pair_id)),
+  SELECT a.pair_id, min(a.i) AS i FROM side a JOIN side b ON a.pair_id = b.pair_id AND a.i = b.i
+  WHERE NOT a.rejected AND b.rejected AND (a.role <> b.role OR a.text <> b.text) GROUP BY 1),
+prefix AS (SELECT DISTINCT c.pair_id, coalesce(o.i - 1, n_turns) AS n FROM c LEFT JOIN other o USING (pair_id)),
 piece AS (
-  SELECT r.pair_id, rejected, r.i, n, role, text, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS s
-  FROM r JOIN prefix USING (pair_id)),
+  SELECT side.*, n, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS s FROM side JOIN prefix USING (pair_id)),
 placed AS (
   SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY pair_id, rejected, i > n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-         + 13 + length(role) AS lo FROM piece),
-done AS (
-  SELECT pair_id, n,
-    string_agg(s, '' ORDER BY i) FILTER (WHERE NOT rejected AND i <= n) AS prompt,
-    string_agg(s, '' ORDER BY i) FILTER (WHERE NOT rejected AND i > n) AS chosen,
-    string_agg(s, '' ORDER BY i) FILTER (WHERE rejected AND i > n) AS rejected_text,
-    string_agg(lo || '-' || (lo + length(text) + 10), ',' ORDER BY i) FILTER (WHERE NOT rejected AND i > n AND role = 'assistant') AS chosen_spans,
-    string_agg(lo || '-' || (lo + length(text) + 10), ',' ORDER BY i) FILTER (WHERE rejected AND i > n AND role = 'assistant') AS rejected_spans
-  FROM placed GROUP BY pair_id, n)
-SELECT pair_id, CAST(n AS BIGINT) AS n_prompt_turns, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen,
-       coalesce(rejected_text, '') AS rejected, coalesce(chosen_spans, '') AS chosen_spans, coalesce(rejected_spans, '') AS rejected_spans
-FROM done
+         + 13 + length(role) AS lo FROM piece)
+SELECT pair_id, CAST(n AS BIGINT) AS n_prompt_turns,
+  coalesce(string_agg(s, '' ORDER BY i) FILTER (WHERE NOT rejected AND i <= n), '') AS prompt,
+  coalesce(string_agg(s, '' ORDER BY i) FILTER (WHERE NOT rejected AND i > n), '') AS chosen,
+  coalesce(string_agg(s, '' ORDER BY i) FILTER (WHERE rejected AND i > n), '') AS rejected,
+  coalesce(string_agg(lo || '-' || (lo + length(text) + 10), ',' ORDER BY i) FILTER (WHERE NOT rejected AND i > n AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg(lo || '-' || (lo + length(text) + 10), ',' ORDER BY i) FILTER (WHERE rejected AND i > n AND role = 'assistant'), '') AS rejected_spans
+FROM placed GROUP BY pair_id, n
 """
 
 

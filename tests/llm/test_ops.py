@@ -498,7 +498,8 @@ def test_chat(spark):
         (8, 0, "user", "t"), (8, 0, "assistant", "t"), (9, 0, "assistant", "t"),
     ]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id bigint, turn bigint, role string, text string, pair string")
-    got = by_id(chat_format.pair_neighbours(df), "pair")
+    turns = chat_format.turns_of(df.filter("conv_id is not null"), F.floor(F.col("conv_id") / 2).cast("bigint"))
+    got = by_id(chat_format.format_preferences(turns.filter("conv % 2 = 0"), turns.filter("conv % 2 = 1")), "pair")
     assert sorted(got) == [0, 1, 3, 4]
     r = got[0]
     assert r["n_prompt_turns"] == 2 and r["prompt"] == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nq<|im_end|>\n"
@@ -509,8 +510,34 @@ def test_chat(spark):
     assert (got[1]["chosen"], got[1]["rejected"], got[1]["n_prompt_turns"]) == ("", "", 1)
     assert got[3]["n_prompt_turns"] == 0 and got[3]["chosen_spans"] == ""
     assert got[4]["n_prompt_turns"] == 1 and got[4]["chosen"] == "<|im_start|>user\nt<|im_end|>\n"
-    assert chat_format.pair_neighbours(df.limit(0)).count() == 0
-    assert not re.search("Python|Pandas|Arrow", chat_format.pair_neighbours(df)._jdf.queryExecution().toString())
+    answers = by_id(chat_format.pair_answers(df), "pair")
+    assert sorted(answers) == [0, 1, 2, 3, 6, 7, 8, 9]
+    r = answers[0]
+    assert r["n_prompt_turns"] == 2 and r["chosen"] == "<|im_start|>assistant\ngood < |im_end|><|im_end|>\n" and r["rejected"] == "<|im_start|>user\n<|im_end|>\n"
+    assert answers[1]["n_prompt_turns"] == 3 and answers[1]["rejected"][22:48] == "good < |im_end|><|im_end|>" and answers[1]["rejected_spans"] == "22-48" and answers[2]["chosen"] == answers[2]["rejected"] == ""
+    assert chat_format.pair_answers(df.limit(0)).count() == 0
+    assert not re.search("Python|Pandas|Arrow", chat_format.pair_answers(df)._jdf.queryExecution().toString())
+
+
+def test_chat_of_the_tables(spark):
+    """Most prompts hold the conversation up to its answer; each is rendered as a plain version does."""
+    import os
+
+    path = "/root/testdata/sf0.001/conversations.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    df = spark.read.parquet(path)
+    own = {}
+    for r in sorted(df.collect(), key=lambda r: (r["turn"], r["role"], r["text"])):
+        own.setdefault(r["conv_id"], []).append((r["role"], r["text"].replace("<|", "< |")))
+    render = lambda ts: "".join(f"<|im_start|>{a}\n{b}<|im_end|>\n" for a, b in ts)
+    got = by_id(chat_format.pair_answers(df), "pair")
+    assert sorted(got) == sorted(c for c in own if c ^ 1 in own)
+    for c, r in got.items():
+        other = [*own[c][:-1], own[c ^ 1][-1]]
+        n = next((i for i, (x, y) in enumerate(zip(own[c], other, strict=True)) if x != y), len(other))
+        assert (r["n_prompt_turns"], r["prompt"], r["chosen"], r["rejected"]) == (n, render(own[c][:n]), render(own[c][n:]), render(other[n:]))
+    assert sum(r["prompt"] != "" for r in got.values()) > 0.8 * len(got)
 
 
 # 9 -------------------------------------------------------------------------------------------------------------------
