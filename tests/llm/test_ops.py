@@ -353,16 +353,21 @@ def fuzz(n):
     return ["".join(rng.choice(" ab'sST\n▁.é1É-") for _ in range(rng.randint(0, 40))) for _ in range(n)]
 
 
-def test_token_counts(spark):
+@pytest.mark.parametrize("entries", [token_counts.ENTRIES, 20, 0])
+def test_token_counts(spark, entries):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     texts = ODD + TOKEN_TEXTS + fuzz(500)
-    got = by_id(token_counts.count_tokens(docs(spark, texts, extra=True), P.path("piece_bpe_32k.model")))
+    got = by_id(token_counts.count_tokens(docs(spark, texts, extra=True), P.path("piece_bpe_32k.model"), entries=entries))
     for i, t in enumerate(texts):
         n = len(model.encode(t or ""))
         assert got[i][:] == (i, len((t or "").encode()), n, n > 4096), t
+    twice = docs(spark, ["a b c"] * 3).withColumn("doc_id", F.lit(None).cast("string"))
+    assert [r[1:3] for r in token_counts.count_tokens(twice, P.path("piece_bpe_32k.model"), entries=entries).collect()] == [(5, 3)] * 3
     assert token_counts.count_tokens(docs(spark, ["a"]).limit(0), P.path("piece_bpe_32k.model")).count() == 0
+    table = {r["p"]: (r["n"], r["pieces"]) for r in token_counts.piece_table(docs(spark, ["a  bc a", "a", None]), P.path("piece_bpe_32k.model")).collect()}
+    assert {p: n for p, (n, _) in table.items()} == {"a": 3, " bc": 1} and table["a"][1] == 1
 
 
 @pytest.mark.parametrize("group", [packing.GROUP, 3])
