@@ -51,6 +51,12 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def bucket(value: Column, seed: int, k: int) -> Column:
+    """One of k classes, by an MD5 of value and seed: the same on every engine. Null is in class 0."""
+    digits = F.substring(F.md5(F.concat(value.cast("string"), F.lit(f"/{seed}")).cast("binary")), 1, 8)
+    return F.coalesce(F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(k)), F.lit(0)).cast("int")
+
+
 def sorted_key(tokens: Column) -> Column:
     return F.array_join(F.sort_array(tokens), " ")
 
@@ -88,16 +94,37 @@ def token_set(a: str | None, b: str | None) -> float | None:
     return max(best, indel(both, with_a), indel(both, with_b)) if both else best
 
 
+def _of_distinct(f, a: pd.Series, b: pd.Series) -> pd.Series:
+    """f of each pair of strings; a batch's equal pairs are worked out once."""
+    pairs = pd.MultiIndex.from_arrays([a.astype(object), b.astype(object)])
+    codes, different = pairs.factorize()
+    values = pd.Series([f(None if pd.isna(x) else x, None if pd.isna(y) else y) for x, y in different], dtype="float64")
+    return pd.Series(values.to_numpy()[codes], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """200 * longest common subsequence / total length; 100 for two empty strings."""
-    return pd.Series([indel(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def _indel(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _of_distinct(indel, a, b)
 
 
 @F.pandas_udf(T.DoubleType())
-def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The best indel ratio among shared tokens, and shared with either side's own; 0 where a side is empty."""
-    return pd.Series([token_set(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def _token_set(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _of_distinct(token_set, a, b)
+
+
+def indel_ratio(a: Column, b: Column) -> Column:
+    """200 * longest common subsequence / total length; 100 for equal strings, which Python doesn't see."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    equal = a == b
+    return F.when(equal, 100.0).otherwise(_indel(F.when(~equal, a), F.when(~equal, b)))
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """The best indel ratio among shared tokens, and shared with either side's own; 0 where a side is empty. Equal strings
+    with a token are 100, which Python doesn't see."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    equal = a == b
+    return F.when(equal, F.when(a.rlike(r"\S"), 100.0).otherwise(0.0)).otherwise(_token_set(F.when(~equal, a), F.when(~equal, b)))
 
 
 def char_grams(text: Column, k: int, longest: int) -> Column:

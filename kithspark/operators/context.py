@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithspark.functions.text import bucket
+
 HIGH = 0.5
 FLOOR = 0.01
 LEAST_SEEN = 5
@@ -48,28 +50,35 @@ def source_context(pred: DataFrame, sources: tuple[int, int] = (2, 3)) -> DataFr
     })
 
 
-def changed_tokens(pairs: DataFrame, kind: str = "name") -> DataFrame:
-    """(rec_id, s1_id, side, t): tokens that the record adds (r) or drops (s).
+#: Sides of changed tokens, and the features that their rates give. The sides' and features' names.
+SIDES = {"name": {"r": "tr", "s": "ts"}, "street": {"ar": "ta", "as": "tas"}, "pair": {"p": "tp"}, "shape": {"c1": "tc1", "c2": "tc2"}}
+
+
+def changed_tokens(pairs: DataFrame, *kinds: str) -> DataFrame:
+    """(rec_id, s1_id, side, t): what the record changes of the entity's tokens, of pairs with nt_r, nt_s (and st_r, st_s).
 
-    kind: name; street (st arrays); pair, the exact substitution of at most two tokens a side (side p); shape, the first
-    and last four letters of added tokens (side c).
+    name: tokens added (r) and dropped (s). street: the same of street tokens (ar, as). pair: the exact substitution (p) of
+    at most two tokens a side. shape: the first four (c1) and last four (c2) letters of added name tokens.
     """
-    r, s = ("st_r", "st_s") if kind == "street" else ("nt_r", "nt_s")
-    add, drop = F.array_except(r, s), F.array_except(s, r)
+    kinds = kinds or ("name",)
+    add, drop = F.array_except("nt_r", "nt_s"), F.array_except("nt_s", "nt_r")
     tag = lambda side, ts: F.transform(ts, lambda t: F.struct(F.lit(side).alias("side"), t.alias("t")))
-    if kind == "pair":
+    parts = []
+    if "name" in kinds:
+        parts += [tag("r", add), tag("s", drop)]
+    if "street" in kinds:
+        parts += [tag("ar", F.array_except("st_r", "st_s")), tag("as", F.array_except("st_s", "st_r"))]
+    if "pair" in kinds:
         text = F.concat(F.array_join(F.sort_array(drop), " "), F.lit(">"), F.array_join(F.sort_array(add), " "))
         few = (F.size(add) <= 2) & (F.size(drop) <= 2) & (F.size(add) + F.size(drop) > 0)
-        tokens = F.when(few, tag("p", F.array(text))).otherwise(F.array().cast("array<struct<side:string,t:string>>"))
-    elif kind == "shape":
-        tokens = tag("c", F.flatten(F.transform(add, lambda t: F.array(F.concat(F.lit("^"), F.substring(t, 1, 4)), F.concat(F.lit("$"), F.right(t, F.lit(4)))))))
-    else:
-        tokens = F.concat(tag("r", add), tag("s", drop))
-    return pairs.select("rec_id", "s1_id", F.inline(tokens))
+        parts.append(F.when(few, tag("p", F.array(text))).otherwise(F.array().cast("array<struct<side:string,t:string>>")))
+    if "shape" in kinds:
+        parts += [tag("c1", F.transform(add, lambda t: F.substring(t, 1, 4))), tag("c2", F.transform(add, lambda t: F.right(t, F.lit(4))))]
+    return pairs.select("rec_id", "s1_id", F.inline(F.concat(*parts)))
 
 
 def folds(ids: Column, k: int = FOLDS, seed: int = 17) -> Column:
-    return F.pmod(F.xxhash64(ids, F.lit(seed)), F.lit(k)).cast("int")
+    return bucket(ids, seed, k)
 
 
 def rate_table(tokens: DataFrame) -> DataFrame:
@@ -78,20 +87,31 @@ def rate_table(tokens: DataFrame) -> DataFrame:
 
 
 def rated(tokens: DataFrame, rates: DataFrame, out_of_fold: bool = True) -> DataFrame:
-    """tokens (…, side, t, fold) with rate: matches / pairs of the token in the other folds; null if seen in fewer than 5."""
+    """tokens (…, side, t, fold) with seen, the pairs with the token (in the other folds; null where no table row has it),
+    and rate, its matches / pairs there; null if seen in fewer than 5."""
     every = rates.groupBy("side", "t").agg(F.sum("n").alias("N"), F.sum("s").alias("S"))
     rows = tokens.join(every, ["side", "t"], "left")
     n, s = F.col("N"), F.col("S")
     if out_of_fold:
         rows = rows.join(rates.withColumnsRenamed({"n": "fn", "s": "fs"}), ["side", "t", "fold"], "left")
         n, s = n - F.coalesce("fn", F.lit(0)), s - F.coalesce("fs", F.lit(0))
-    return rows.withColumn("rate", F.when(n >= LEAST_SEEN, F.try_divide(s.cast("double"), n.cast("double")))).drop("N", "S", "fn", "fs")
-
-
-def token_rate_features(tokens: DataFrame, prefix: str = "t") -> DataFrame:
-    """Per pair: least and greatest rate of added and of dropped tokens, and how many are rated."""
-    on = lambda f, side: f(F.when(F.col("side") == side, F.col("rate")))
-    return tokens.groupBy("rec_id", "s1_id").agg(
-        on(F.min, "r").alias(f"{prefix}r_min"), on(F.max, "r").alias(f"{prefix}r_max"), on(F.min, "s").alias(f"{prefix}s_min"),
-        on(F.max, "s").alias(f"{prefix}s_max"), F.count("rate").alias(f"{prefix}r_n"),
-    )
+    rows = rows.withColumn("seen", n)
+    return rows.withColumn("rate", F.when(F.col("seen") >= LEAST_SEEN, F.try_divide(s.cast("double"), n.cast("double")))).drop("N", "S", "fn", "fs")
+
+
+def token_rate_features(tokens: DataFrame, *kinds: str) -> DataFrame:
+    """Per pair, of rated tokens: least and greatest rate of each side, how many added name tokens are rated (tr_n), the
+    substitution's rate and how often it was seen (tp_rate, tp_n)."""
+    out = []
+    for kind in kinds or ("name",):
+        for side, prefix in SIDES[kind].items():
+            on = lambda f, c, side=side: f(F.when(F.col("side") == side, F.col(c)))
+            if kind == "pair":
+                has = F.max(F.when(F.col("side") == side, F.coalesce("seen", F.lit(0))))
+                out += [on(F.max, "rate").alias("tp_rate"), has.alias("tp_n")]
+            else:
+                out += [on(F.min, "rate").alias(f"{prefix}_min"), on(F.max, "rate").alias(f"{prefix}_max")]
+        if kind == "name":
+            named = F.count(F.when(F.col("side") == "r", F.lit(1)))
+            out.append(F.when(named > 0, F.count(F.when(F.col("side") == "r", F.col("rate")))).alias("tr_n"))
+    return tokens.groupBy("rec_id", "s1_id").agg(*out)

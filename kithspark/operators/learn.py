@@ -60,6 +60,14 @@ def calibrate(oof: DataFrame, truth: DataFrame, pred: DataFrame) -> DataFrame:
     return out.withColumn("p", F.greatest(F.least("prediction", F.lit(1.0)), F.lit(0.0))).select(*pred.columns)
 
 
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def importance(model: PipelineModel, feats: list[str], top: int = 8) -> list[tuple[str, float]]:
     """Features by gain, a feature's missing mark added to it."""
     gain = model.stages[-1].featureImportances.toArray()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kithspark.functions.text import indel_ratio, sorted_key, token_set_ratio
 
+# Names of features, by group.
 NAME = ["nj", "n_inter", "nlen_r", "nlen_s", "n_tsr", "n_ratio", "n_collide"]
 ADDRESS = ["aj", "sj", "a_tsr", "aempty", "alen_r", "alen_s"]
 HOUSE = ["n1", "nr", "ncover", "nmiss", "nextra", "first_eq", "ndiff", "ntrunc"]
@@ -79,8 +80,10 @@ def collisions(s1: DataFrame) -> DataFrame:
 
 
 def out_of_vocabulary(rows: DataFrame, key: list[str], tokens: Column, vocab: DataFrame, name: str) -> DataFrame:
-    """key and the share of a row's tokens that aren't words of vocab; null where it has none."""
-    exploded = rows.select(*key, F.explode(tokens).alias("word")).join(vocab.select("word", F.lit(1).alias("__in")), "word", "left")
+    """key and the share of a row's tokens that aren't words of vocab (word); null where it has none. Where vocab has a
+    country, the words of a row's own country count."""
+    on = ["word", "country"] if "country" in vocab.columns else ["word"]
+    exploded = rows.select(*key, *on[1:], F.explode(tokens).alias("word")).join(vocab.select(*on, F.lit(1).alias("__in")), on, "left")
     return exploded.groupBy(*key).agg(F.avg(F.when(F.col("__in").isNull(), 1.0).otherwise(0.0)).alias(name))
 
 
@@ -95,9 +98,9 @@ def context(pairs: DataFrame) -> DataFrame:
 
 
 def with_sides(candidates: DataFrame, s1: DataFrame, recs: DataFrame) -> DataFrame:
-    """candidates with the arrays of both sides: nt, at, st, nums, lt, nkey with _s and _r, and src."""
+    """candidates with the arrays of both sides: nt, at, st, nums, lt, nkey with _s and _r, src and country."""
     cols = ["nt", "at", "st", "nums", "lt", "nkey"]
-    left = s1.select(F.col("id").alias("s1_id"), *[F.col(c).alias(f"{c}_s") for c in cols])
+    left = s1.select(F.col("id").alias("s1_id"), "country", *[F.col(c).alias(f"{c}_s") for c in cols])
     right = recs.select(F.col("id").alias("rec_id"), "src", *[F.col(c).alias(f"{c}_r") for c in cols])
     return candidates.join(right, "rec_id").join(left, "s1_id")
 
@@ -105,7 +108,7 @@ def with_sides(candidates: DataFrame, s1: DataFrame, recs: DataFrame) -> DataFra
 def pair_features(candidates: DataFrame, s1: DataFrame, recs: DataFrame, version: int = 4, vocab: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
     """rec_id, s1_id and the features of the version, as floats; nulls stay null. vocab (word): the entities' name tokens.
 
-    The fuzzy ratios are the only Python: they run in Arrow batches on distinct pairs of strings, after pruning.
+    The fuzzy ratios are the only Python: they run in Arrow batches, on a batch's distinct pairs of unequal strings.
     """
     p = with_sides(candidates, s1, recs).join(collisions(s1), "s1_id")
     p = p.withColumns({

@@ -10,6 +10,7 @@ from kithspark.functions.text import char_grams
 KEY_CAP = 50
 MAX_NUMBERS = 4
 NAME_CAP = 500
+CHAR_TOPK, CHAR_CAP = 4, 300
 
 
 def _house_words(version: str) -> Column:
@@ -104,9 +105,9 @@ def sparse_topk(s1: DataFrame, recs: DataFrame, k: int = 8, cap: int = 100, q: i
 
 
 def weak_records(recs: DataFrame, found: DataFrame) -> DataFrame:
-    """Records with a blank address or without any candidate."""
-    missing = recs.join(found.select(F.col("rec_id").alias("id")), "id", "left_anti")
-    return recs.filter(F.trim("addr") == "").unionByName(missing).dropDuplicates(["id"])
+    """Records (a view) whose address has no token, or that have no candidate. One join marks those that have some."""
+    had = found.select(F.col("rec_id").alias("id"), F.lit(True).alias("__had")).distinct()
+    return recs.join(had, "id", "left").filter((F.size("at") == 0) | F.col("__had").isNull()).drop("__had")
 
 
 def union_candidates(sparse: DataFrame | None = None, exact: DataFrame | None = None, chars: DataFrame | None = None) -> DataFrame:
@@ -142,11 +143,11 @@ def candidates(config: dict, s1: DataFrame, recs: DataFrame) -> DataFrame:
     """The configured retrievers, united, pruned and capped."""
     kinds = config["ret"].split("+")
     sparse = sparse_topk(s1, recs, config.get("topk") or 8, config.get("cap", 100), config.get("q"), config.get("qn")) if "sparse" in kinds else None
-    exact = exact_block(s1, recs, config["addr"], config.get("topk")) if "exact" in kinds else None
+    exact = exact_block(s1, recs, config["addr"], config.get("ex_topk", config.get("topk"))) if "exact" in kinds else None
     out = union_candidates(sparse, exact)
     if "char" in kinds:
         grams = lambda v: name_grams(v, config.get("grams", 5))
-        weak = sparse_topk(s1, weak_records(recs, out), config.get("topk") or 8, config.get("char_cap", 3000), tokens=grams)
+        weak = sparse_topk(s1, weak_records(recs, out), config.get("ch_topk", CHAR_TOPK), config.get("ch_cap", CHAR_CAP), tokens=grams)
         out = union_candidates(sparse, exact, weak)
     if config.get("prune"):
         out = prune(out, config["prune"])

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from kithspark.operators.views import US_STATES, components, sampled
 
 # Indian states and territories as addresses name them.
-INDIA = (
-    "andhra pradesh,arunachal pradesh,assam,bihar,chhattisgarh,goa,gujarat,haryana,himachal pradesh,jharkhand,karnataka,kerala,"
-    "madhya pradesh,maharashtra,manipur,meghalaya,mizoram,nagaland,odisha,punjab,rajasthan,sikkim,tamil nadu,telangana,tripura,"
-    "uttar pradesh,uttarakhand,west bengal,delhi,chandigarh,puducherry,jammu and kashmir,ladakh,lakshadweep,"
-    "andaman and nicobar islands,dadra and nagar haveli and daman and diu"
-).split(",")
+INDIA = [
+    "andhra pradesh", "arunachal pradesh", "assam", "bihar", "chhattisgarh", "goa", "gujarat", "haryana", "himachal pradesh",
+    "jharkhand", "karnataka", "kerala", "madhya pradesh", "maharashtra", "manipur", "meghalaya", "mizoram", "nagaland",
+    "odisha", "punjab", "rajasthan", "sikkim", "tamil nadu", "telangana", "tripura", "uttar pradesh", "uttarakhand",
+    "west bengal", "delhi", "chandigarh", "puducherry", "jammu and kashmir", "ladakh", "lakshadweep",
+    "andaman and nicobar islands", "dadra and nagar haveli and daman and diu",
+]
 GIANT = 0.06
 SHARE = 0.10
 BLOCK = 150_000

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kithspark.functions.text import all_matches, first_match, fold, sorted_key, strings
+from kithspark.functions.text import all_matches, bucket, first_match, fold, sorted_key, strings
 
 # Legal forms, titles and stop words that name tokens leave out, and which of them are legal forms.
 LEGAL = "inc llc ltd limited pvt private corp corporation co company group llp pllc plc".split()
@@ -20,15 +20,16 @@ WRAPPER = r"(?:formerly known as|formerly|\bdba\b|\bd/b/a\b|\bt/a\b|trading as)\
 DOMAIN = r"^@?[a-z0-9\-]+(\.?(com|net|org|in|co|fr))?$"
 DOMAIN_MARK = r"^\s*@|\.(com|net|org|in|co|fr)\s*$|^\s*[a-z0-9]{7,}com\s*$"
 # Address abbreviations, by country and for all.
-ABBREVIATIONS = dict(
-    st="street", str="street", ave="avenue", av="avenue", rd="road", dr="drive", ln="lane", ct="court", blvd="boulevard",
-    pl="place", hwy="highway", pkwy="parkway", cir="circle", ter="terrace", trl="trail", pk="park", sq="square", mt="mount",
-    ste="suite", apt="apartment", fl="floor", bldg="building", hts="heights", jct="junction", n="north", s="south", e="east",
-    w="west", ne="northeast", nw="northwest", se="southeast", sw="southwest", r="rue", bd="boulevard", all="allee",
-    rte="route", imp="impasse", ch="chemin", chem="chemin", qu="quai", pge="passage", res="residence", lot="lotissement",
-    espl="esplanade", first="1st", second="2nd", third="3rd", fourth="4th", fifth="5th", sixth="6th", seventh="7th",
-    eighth="8th", ninth="9th", tenth="10th",
-)
+ABBREVIATIONS = {
+    "st": "street", "str": "street", "ave": "avenue", "av": "avenue", "rd": "road", "dr": "drive", "ln": "lane", "ct": "court",
+    "blvd": "boulevard", "pl": "place", "hwy": "highway", "pkwy": "parkway", "cir": "circle", "ter": "terrace", "trl": "trail",
+    "pk": "park", "sq": "square", "mt": "mount", "ste": "suite", "apt": "apartment", "fl": "floor", "bldg": "building",
+    "hts": "heights", "jct": "junction", "n": "north", "s": "south", "e": "east", "w": "west", "ne": "northeast",
+    "nw": "northwest", "se": "southeast", "sw": "southwest", "r": "rue", "bd": "boulevard", "all": "allee", "rte": "route",
+    "imp": "impasse", "ch": "chemin", "chem": "chemin", "qu": "quai", "pge": "passage", "res": "residence",
+    "lot": "lotissement", "espl": "esplanade", "first": "1st", "second": "2nd", "third": "3rd", "fourth": "4th", "fifth": "5th",
+    "sixth": "6th", "seventh": "7th", "eighth": "8th", "ninth": "9th", "tenth": "10th",
+}
 US_STATES = {
     "alabama": "al", "alaska": "ak", "arizona": "az", "arkansas": "ar", "california": "ca", "colorado": "co", "connecticut": "ct",
     "delaware": "de", "florida": "fl", "georgia": "ga", "hawaii": "hi", "idaho": "id", "illinois": "il", "indiana": "in",
@@ -226,4 +227,4 @@ def strata(s1: DataFrame, recs: DataFrame, truth: DataFrame) -> DataFrame:
 
 def sampled(df: DataFrame, col: str, seed: int, m: int, k: int) -> DataFrame:
     """Rows whose hashed value falls in k of m classes; the same for equal values."""
-    return df.filter(F.pmod(F.xxhash64(F.col(col), F.lit(seed)), F.lit(m)) < k)
+    return df.filter(bucket(F.col(col), seed, m) < k)

@@ -37,6 +37,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def replace_with(spark: SparkSession, path: str, new: str) -> None:
+    """The table at `new` takes the place of that at `path`, which is there, under one of two names, all the time."""
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at(f"{path}.old"), True)
+    if not fs.rename(at(path), at(f"{path}.old")) or not fs.rename(at(new), at(path)):
+        raise OSError(f"can't put {new} in the place of {path}")
+    fs.delete(at(f"{path}.old"), True)
+
+
 def memo(spark: SparkSession, path: str, make) -> DataFrame:
     """The table at path; computed and written by make() if it isn't there yet."""
     if not exists(spark, path):
