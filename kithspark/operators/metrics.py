@@ -103,6 +103,31 @@ def f05_by_matches(per_s1: DataFrame) -> DataFrame:
     return per_s1.groupBy("n_true").agg(F.count("*").alias("n"), F.avg("f").alias("f"))
 
 
+def f05_bins(per_s1: DataFrame, bins: int = 10) -> DataFrame:
+    """(bin, n, loss): entities and their loss 1 - f by equal bins of f."""
+    return per_s1.groupBy(F.least(F.floor(F.round("f", 9) * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.sum(1 - F.col("f")).alias("loss"))
+
+
+def matches_per_entity(s1: DataFrame, truth: DataFrame) -> DataFrame:
+    """(k, n): how many entities have k matches."""
+    counts = truth.select("s1_id", "rec_id").distinct().groupBy("s1_id").agg(F.count("*").alias("k"))
+    return s1.select(F.col("id").alias("s1_id")).join(counts, "s1_id", "left").groupBy(F.coalesce("k", F.lit(0)).alias("k")).agg(F.count("*").alias("n"))
+
+
+def f05_by_block(per_s1: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(block, n, f): entities and mean F0.5 of each block (id, block); "*" is a block of its own."""
+    return per_s1.join(blocks.select(F.col("id").alias("s1_id"), "block"), "s1_id").groupBy("block").agg(F.count("*").alias("n"), F.avg("f").alias("f"))
+
+
+def loss_report(per_s1: DataFrame) -> DataFrame:
+    """Per country and for all: entities, total loss 1 - f, that of entities without matches, perfect and empty-handed ones."""
+    lone, loss = F.col("n_true") == 0, 1 - F.col("f")
+    return per_s1.rollup("country").agg(
+        F.count("*").alias("n_s1"), F.sum(loss).alias("loss"), F.coalesce(F.sum(F.when(lone, loss)), F.lit(0.0)).alias("loss_singleton"), F.count_if(F.col("f") == 1).alias("s1_perfect"),
+        F.count_if(F.col("f") == 0).alias("s1_zero"), F.count_if(lone & (F.col("n_pred") > 0)).alias("singletons_with_pred"),
+    ).withColumn("country", F.coalesce("country", F.lit("all")))
+
+
 def error_anatomy(truth: DataFrame, candidates: DataFrame, pred: DataFrame, strata: DataFrame) -> DataFrame:
     """(stratum, cause, n) of missed pairs: not_retrieved, given_to_other_s1, below_tau."""
     missed = truth.join(pred.select("s1_id", "rec_id"), ["s1_id", "rec_id"], "left_anti")

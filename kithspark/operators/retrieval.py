@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithspark.functions.text import char_grams
+from kithspark.scratch import cut
 
 KEY_CAP = 50
 MAX_NUMBERS = 4
@@ -94,8 +95,8 @@ def sparse_topk(s1: DataFrame, recs: DataFrame, k: int = 8, cap: int = 100, q: i
     score = sum of the shared tokens' w2 / norm of the entity. Tokens of more than cap entities are no postings, which
     bounds the join; q and qn bound the query's tokens. Only frequencies of the country, a handful of rows, are broadcast.
     """
-    ours = tokens(s1)
-    vocab = document_frequencies(ours).filter(F.col("df") <= cap)
+    ours = cut(tokens(s1))  # read three times
+    vocab = cut(document_frequencies(ours).filter(F.col("df") <= cap))
     posts = ours.join(vocab, ["country", "tok"])
     norms = posts.groupBy(F.col("id").alias("s1_id")).agg(F.sqrt(F.sum("w2")).alias("norm"))
     query = query_terms(tokens(recs), vocab, q, qn).select(F.col("id").alias("rec_id"), "country", "tok", "w2")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kithspark.functions.text import all_matches, bucket, first_match, fold, sorted_key, strings
+from kithspark.functions.text import all_matches, bucket, digest, first_match, fold, sorted_key, strings
 
 # Legal forms, titles and stop words that name tokens leave out, and which of them are legal forms.
 LEGAL = "inc llc ltd limited pvt private corp corporation co company group llp pllc plc".split()
@@ -213,7 +213,7 @@ def components(df: DataFrame) -> DataFrame:
 def addr_signature(addr: Column) -> Column:
     """A hash of the sorted distinct tokens; null for a blank address."""
     tokens = F.sort_array(F.array_distinct(all_matches(fold(addr), "[a-z0-9]+")))
-    return F.when(F.trim(addr) != "", F.xxhash64(F.array_join(tokens, " ")))
+    return F.when(F.trim(addr) != "", digest(F.array_join(tokens, " ")))
 
 
 def strata(s1: DataFrame, recs: DataFrame, truth: DataFrame) -> DataFrame:

@@ -143,10 +143,47 @@ CTES["strat"] = f"""
 CTES["best"] = """
   SELECT rec_id, max(CASE WHEN k = 1 THEN s1_id END) AS s1_id, max(CASE WHEN k = 1 THEN p END) AS p, coalesce(max(CASE WHEN k = 2 THEN p END), 0) AS p2
   FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY p DESC, s1_id) AS k FROM pred) WHERE k <= 2 GROUP BY rec_id"""
+def digits(text: str, n: int) -> str:
+    """The first n hexadecimal digits of a text's MD5 as a number."""
+    return f"CAST('0x' || substr(md5({text}), 1, {n}) AS BIGINT)"
+
+
+def bucket(value: str, seed: int, k: int) -> str:
+    return f"CAST({digits(f"{value} || '/{seed}'", 8)} % {k} AS INT)"
+
+
+_add, _drop = except_("nt_r", "nt_s"), except_("nt_s", "nt_r")
 CTES["changed"] = f"""
-  SELECT rec_id, s1_id, hits, side, t, CAST(split_part(s1_id, '-', 2) AS BIGINT) % 5 AS fold, t2.rec_id IS NOT NULL AS y FROM (
-    SELECT rec_id, s1_id, hits, 'r' AS side, unnest({except_('nt_r', 'nt_s')}) AS t FROM pair
-    UNION ALL SELECT rec_id, s1_id, hits, 's', unnest({except_('nt_s', 'nt_r')}) FROM pair) LEFT JOIN (SELECT DISTINCT * FROM truth) t2 USING (rec_id, s1_id)"""
+  SELECT rec_id, s1_id, hits, side, t, {bucket('rec_id', 17, 5)} AS fold, t2.rec_id IS NOT NULL AS y FROM (
+    SELECT rec_id, s1_id, hits, 'r' AS side, unnest({_add}) AS t FROM pair
+    UNION ALL SELECT rec_id, s1_id, hits, 's', unnest({_drop}) FROM pair
+    UNION ALL SELECT rec_id, s1_id, hits, 'ar', unnest({except_('st_r', 'st_s')}) FROM pair
+    UNION ALL SELECT rec_id, s1_id, hits, 'as', unnest({except_('st_s', 'st_r')}) FROM pair
+    UNION ALL SELECT rec_id, s1_id, hits, 'p', array_to_string(list_sort({_drop}), ' ') || '>' || array_to_string(list_sort({_add}), ' ') FROM pair
+      WHERE len({_add}) <= 2 AND len({_drop}) <= 2 AND len({_add}) + len({_drop}) > 0
+    UNION ALL SELECT rec_id, s1_id, hits, 'c1', unnest(list_transform({_add}, lambda v: left(v, 4))) FROM pair
+    UNION ALL SELECT rec_id, s1_id, hits, 'c2', unnest(list_transform({_add}, lambda v: right(v, 4))) FROM pair)
+  LEFT JOIN (SELECT DISTINCT * FROM truth) t2 USING (rec_id, s1_id)"""
+
+
+def rate_columns(rate: str, seen: str) -> str:
+    """The features of rated tokens, per pair."""
+    out = []
+    for side, name in {"r": "tr", "s": "ts", "ar": "ta", "as": "tas", "c1": "tc1", "c2": "tc2"}.items():
+        out += [f"round({f}({rate}) FILTER (WHERE side = '{side}'), 6) AS {name}_{f}" for f in ("min", "max")]
+    out.append(f"CASE WHEN count(*) FILTER (WHERE side = 'r') > 0 THEN count({rate}) FILTER (WHERE side = 'r') END AS tr_n")
+    out += [f"round(max({rate}) FILTER (WHERE side = 'p'), 6) AS tp_rate", f"CAST(max(coalesce({seen}, 0)) FILTER (WHERE side = 'p') AS BIGINT) AS tp_n"]
+    return ", ".join(out)
+
+
+def rated(changed: str, rates: str, out_of_fold: bool) -> str:
+    """changed tokens with seen and rate by a rate table."""
+    own = f"LEFT JOIN {rates} o ON o.side = c.side AND o.t = c.t AND o.fold = c.fold" if out_of_fold else ""
+    n, s = ("tn - coalesce(o.n, 0)", "ts - coalesce(o.s, 0)") if out_of_fold else ("tn", "ts")
+    return f"""SELECT c.rec_id, c.s1_id, c.side, c.t, {n} AS seen, CASE WHEN {n} >= 5 THEN ({s}) / CAST({n} AS DOUBLE) END AS rate
+  FROM {changed} c LEFT JOIN (SELECT side, t, sum(n) AS tn, sum(s) AS ts FROM {rates} GROUP BY ALL) w ON w.side = c.side AND w.t = c.t {own}"""
+
+
 CTES["rates"] = "SELECT side, t, fold, count(*) AS n, CAST(sum(CAST(y AS INT)) AS BIGINT) AS s FROM changed GROUP BY ALL"
 CTES["atok"] = f"""
   SELECT id, src, country, name, addr, list_sort(list_distinct({except_(tokens(fold('name')), strings(STOP + LEGAL))})) AS t,

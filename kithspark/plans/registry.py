@@ -14,7 +14,8 @@ from kithspark.operators import retrieval as rt
 from kithspark.operators import views as vw
 from kithspark.plans import runs
 from kithspark.plans.experiments import config
-from kithspark.plans.oracle import F05, distinct_in_order, except_, fold as sql_fold, jaccard, sql, strings, tokens
+from kithspark.plans.oracle import CTES, F05, distinct_in_order, except_, fold as sql_fold, jaccard, rate_columns, rated as sql_rated, sql, strings, tokens
+from kithspark.scratch import cut
 from kithspark.session import table
 from kithspark.sources import adapters
 from kithspark.sources.tables import id_lists
@@ -34,14 +35,13 @@ def query(oracle: str | None = None):
 
 
 def _views(spark, d):
-    s1, recs, truth = adapters.er_tables(spark, d)
-    make = lambda df: vw.addr_view(vw.name_view(df, "V2"), "A2")
-    return make(s1), make(recs), truth
+    """(entity view, record view, truth): documents are read and both views made once, then written."""
+    return adapters.sides(cut(vw.addr_view(vw.name_view(adapters.er_records(spark, d), "V2"), "A2")))
 
 
 def _top(spark, d):
     s1, recs, truth = _views(spark, d)
-    return s1, recs, truth, rt.exact_block(s1, recs, "A2", 8)
+    return s1, recs, truth, cut(rt.exact_block(s1, recs, "A2", 8))
 
 
 def _joined(c: str):
@@ -116,12 +116,6 @@ def addr_view_a2(spark, d):
     return vw.addr_view(adapters.er_records(spark, d), "A2").select("id", _joined("at"), _joined("st"), F.array_join(F.col("nums").cast("array<string>"), " ").alias("nums"), "house")
 
 
-@query()
-def addr_view_a3(spark, d):
-    """Expanded addresses: phrases are replaced longest first, which SQL's plain replace can't say; unit-tested."""
-    return vw.addr_view(adapters.er_records(spark, d), "A3").select("id", _joined("at"), "house")
-
-
 @query(sql("SELECT id, country, CAST(i - 1 AS INT) AS pos, lower(trim(parts[i])) AS comp FROM (SELECT id, country, string_split(addr, ',') AS parts, unnest(range(1, len(string_split(addr, ',')) + 1)) AS i FROM er)", "er"))
 def address_components(spark, d):
     return vw.components(adapters.er_records(spark, d))
@@ -186,7 +180,7 @@ def chargram_topk(spark, d):
     return rt.sparse_topk(s1, recs, 8, 100, tokens=rt.name_grams).select("rec_id", "s1_id", _r("score"), "rank")
 
 
-@query(sql("SELECT id FROM recs WHERE trim(addr) = '' OR id NOT IN (SELECT rec_id FROM top)", "recs", "top"))
+@query(sql("SELECT id FROM view WHERE src > 1 AND (len(ad) = 0 OR id NOT IN (SELECT rec_id FROM top))", "view", "top"))
 def weak_records(spark, d):
     _, recs, _, top = _top(spark, d)
     return rt.weak_records(recs, top).select("id")
@@ -194,7 +188,7 @@ def weak_records(spark, d):
 
 def _cand(spark, d):
     s1, recs, _, top = _top(spark, d)
-    return rt.union_candidates(rt.sparse_topk(s1, recs, 8, 100), top).drop("ch_score", "ch_rank")
+    return cut(rt.union_candidates(rt.sparse_topk(s1, recs, 8, 100), top).drop("ch_score", "ch_rank"))
 
 
 _CAND = "SELECT rec_id, s1_id, round(CAST(sp_score AS DOUBLE), 4) AS sp_score, sp_rank, ex_hits FROM "
@@ -299,7 +293,7 @@ def pair_fuzzy_ratios(spark, d):
 def pair_features_v4(spark, d):
     """The whole feature table of the last version, with labels."""
     s1, recs, truth, top = _top(spark, d)
-    cands = rt.union_candidates(rt.sparse_topk(s1, recs, 8, 3000, 6, 3), top)
+    cands = cut(rt.union_candidates(rt.sparse_topk(s1, recs, 8, 3000, 6, 3), top))
     return pf.with_labels(pf.pair_features(cands, s1, recs, 4, vw.vocabulary(s1)), truth)
 
 
@@ -415,11 +409,21 @@ def stage2_xsrc(spark, d):
     return context.source_context(adapters.scored_pairs(spark, d)).select("rec_id", "s1_id", "src", "p", *_big("s_hi_same", "s_hi_other"), "s_max_other", _r("s_sum_other"))
 
 
+_KINDS = ("name", "street", "pair", "shape")
+_RATE_ORDER = [f"{p}_{f}" for p in ("tr", "ts", "ta", "tas", "tc1", "tc2") for f in ("min", "max")] + ["tp_rate"]
+
+
 def _changed(spark, d):
-    p, _, _ = _pairs(spark, d)
-    truth = adapters.er_tables(spark, d)[2].distinct().withColumn("t_", F.lit(True))
-    tokens = context.changed_tokens(p).join(truth, ["rec_id", "s1_id"], "left")
-    return tokens.select("rec_id", "s1_id", "side", "t", (F.split("s1_id", "-")[1].cast("bigint") % 5).alias("fold"), F.col("t_").isNotNull().alias("y"))
+    """Changed tokens of all kinds of the exact candidates, with fold and label."""
+    s1, recs, truth, top = _top(spark, d)
+    marked = truth.distinct().withColumn("t_", F.lit(True))
+    tokens = runs.tokens_of(top, s1, recs, list(_KINDS)).join(marked, ["rec_id", "s1_id"], "left")
+    return cut(tokens.withColumn("y", F.col("t_").isNotNull()).drop("t_"))
+
+
+def _rate_columns(rated):
+    out = context.token_rate_features(rated, *_KINDS)
+    return out.select("rec_id", "s1_id", *[_r(c) for c in _RATE_ORDER], "tr_n", "tp_n")
 
 
 @query(sql("SELECT * FROM rates", "rates"))
@@ -427,14 +431,33 @@ def token_rate_table(spark, d):
     return context.rate_table(_changed(spark, d))
 
 
-@query(sql("""SELECT rec_id, s1_id, round(min(rate) FILTER (WHERE side = 'r'), 6) AS tr_min, round(max(rate) FILTER (WHERE side = 'r'), 6) AS tr_max,
-  round(min(rate) FILTER (WHERE side = 's'), 6) AS ts_min, round(max(rate) FILTER (WHERE side = 's'), 6) AS ts_max, count(rate) AS tr_n FROM (
-  SELECT c.*, CASE WHEN tn - coalesce(n, 0) >= 5 THEN (ts - coalesce(s, 0)) / CAST(tn - coalesce(n, 0) AS DOUBLE) END AS rate
-  FROM changed c LEFT JOIN (SELECT side, t, sum(n) AS tn, sum(s) AS ts FROM rates GROUP BY ALL) USING (side, t) LEFT JOIN rates USING (side, t, fold)) GROUP BY ALL""", "rates"))
+@query(sql(f"SELECT rec_id, s1_id, {rate_columns('rate', 'seen')} FROM ({sql_rated('changed', 'rates', True)}) GROUP BY ALL", "rates"))
 def token_rates_oof(spark, d):
+    """Rates of added and dropped name and street tokens, exact substitutions and shapes, out of fold."""
+    tokens = _changed(spark, d)
+    return _rate_columns(context.rated(tokens, context.rate_table(tokens)))
+
+
+_half = lambda parity: f"(SELECT * FROM changed WHERE CAST(split_part(rec_id, '-', 2) AS BIGINT) % 2 = {parity})"
+_half_rates = f"(SELECT side, t, fold, count(*) AS n, sum(CAST(y AS INT)) AS s FROM {_half(0)} GROUP BY ALL)"
+
+
+@query(sql(f"SELECT rec_id, s1_id, {rate_columns('rate', 'seen')} FROM ({sql_rated(_half(1), _half_rates, False)}) GROUP BY ALL", "changed"))
+def token_rates_handed(spark, d):
+    """Rates learnt from the records with even numbers, handed to those with odd ones."""
     tokens = _changed(spark, d)
-    out = context.token_rate_features(context.rated(tokens, context.rate_table(tokens)))
-    return out.select("rec_id", "s1_id", _r("tr_min"), _r("tr_max"), _r("ts_min"), _r("ts_max"), "tr_n")
+    odd = F.split("rec_id", "-")[1].cast("bigint") % 2
+    return _rate_columns(context.rated(tokens.filter(odd == 1), context.rate_table(tokens.filter(odd == 0)), False))
+
+
+@query(sql("""SELECT side, t, fold, count(*) AS n, CAST(sum(CAST(y AS INT)) AS BIGINT) AS s FROM changed WHERE CAST(split_part(s1_id, '-', 2) AS BIGINT) % 3 <> 0 GROUP BY ALL""", "changed"))
+def token_rates_full(spark, d):
+    """The rate table of a whole run without the entities that results are measured on."""
+    rows = adapters.er_records(spark, d)
+    s1, recs, truth = adapters.sides(rows)
+    views = _top(spark, d)
+    out = s1.filter(F.split("id", "-")[1].cast("bigint") % 3 == 0).select(F.col("id").alias("s1_id"))
+    return runs.full_rates({"name": "V2", "addr": "A2"}, views[3], runs.Data(s1, recs, truth), out)
 
 
 # metrics -------------------------------------------------------------------------------------------------------------
@@ -528,13 +551,6 @@ def state_last_match(spark, d):
     return splits.last_match(vw.components(_places(spark, d)), known)
 
 
-@query()
-def block_plan(spark, d):
-    """Next-fit is sequential over a few sizes: unit-tested."""
-    rows = _places(spark, d).drop("addr")
-    return splits.plan_blocks(rows, rows, 500)[0]
-
-
 @query("""WITH r AS (SELECT s_suppkey AS id, CAST(s_nationkey % 3 AS VARCHAR) AS country, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'B' || s_nationkey END AS block FROM supplier),
 b AS (SELECT DISTINCT country, block FROM r WHERE block IS NOT NULL)
 SELECT id, country, block FROM r WHERE block IS NOT NULL UNION ALL SELECT id, country, b.block FROM r JOIN b USING (country) WHERE r.block IS NULL""")
@@ -551,15 +567,6 @@ def id_lists_sink(spark, d):
     return id_lists(s1, got)
 
 
-@query()
-def blockwise_rules(spark, d):
-    """The rule scorer with the block as the partition key; hash-free but long: unit-tested against one block."""
-    s1, recs, _ = _views(spark, d)
-    state = lambda df: df.withColumn("state", F.when(F.length("name") % 5 > 0, F.concat_ws(":", "country", (F.length("name") % 2).cast("string"))))
-    a, b = splits.plan_blocks(state(s1), state(recs), 100)
-    return runs.score_blocks(s1, recs, a, b, config("E-04a"))
-
-
 # audits --------------------------------------------------------------------------------------------------------------
 @query(sql("""SELECT (SELECT count(*) FROM truth) AS labels, (SELECT count(DISTINCT rec_id) FROM truth) AS records, (SELECT count(*) FROM (SELECT rec_id FROM truth GROUP BY 1 HAVING count(*) > 1)) AS multi_owner,
   count(*) AS entities, count(*) FILTER (WHERE k = 0) AS singletons, max(k) AS most, (SELECT k FROM m ORDER BY n DESC, k LIMIT 1) AS mode FROM x""".replace("FROM m ", "FROM (SELECT k, count(*) AS n FROM x GROUP BY k) ").replace("FROM x", "FROM (SELECT s.id, count(t.rec_id) AS k FROM s1 s LEFT JOIN truth t ON t.s1_id = s.id GROUP BY s.id)"), "s1", "truth"))
@@ -645,11 +652,20 @@ def learned_scores(spark, d):
     return learn.predict(model, pred, ["x", "src", "sig"])
 
 
-@query()
+_iso = """WITH pred AS (SELECT rec_id, s1_id, max(p) AS p, bool_or(y) AS y FROM (%s) GROUP BY ALL),
+g AS (SELECT p, count(*) AS n, sum(CAST(y AS INT)) AS s, row_number() OVER (ORDER BY p) AS i, sum(count(*)) OVER (ORDER BY p) AS cn, sum(sum(CAST(y AS INT))) OVER (ORDER BY p) AS cs FROM pred GROUP BY p),
+mean AS (SELECT a.i AS j, b.i AS k, (b.cs - a.cs + a.s) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS m FROM g a JOIN g b ON a.i <= b.i),
+least AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM mean),
+fitted AS (SELECT k AS i, max(m) AS f FROM least GROUP BY k)
+SELECT rec_id, s1_id, round(f, 6) AS p FROM pred JOIN g USING (p) JOIN fitted USING (i)"""
+
+
+@query(_iso % CTES["pred"])
 def isotonic_calibration(spark, d):
-    """An isotonic fit has no SQL."""
+    """The SQL is the max-min form of an isotonic fit: of each score, the greatest over all starts up to it of the least mean
+    over all ends from it on."""
     pred = adapters.scored_pairs(spark, d).groupBy("rec_id", "s1_id").agg(F.max("p").alias("p"), F.bool_or("y").alias("y"))
-    return learn.calibrate(pred, pred.filter("y"), pred).select("rec_id", "s1_id", "p")
+    return learn.calibrate(pred, pred.filter("y"), pred).select("rec_id", "s1_id", _r("p"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -658,3 +674,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from kithspark.plans import registry_runs  # noqa: E402, F401  (adds its queries)

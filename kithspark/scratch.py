@@ -60,6 +60,13 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str = "n") ->
     return rest.unionByName(rows.join(hot, key))
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new place in the shared folder, deleted like the tables of cut()."""
+    at = f"{scratch_dir(spark)}/kithspark/{uuid.uuid4().hex}"
+    _written[at] = (spark, threading.get_ident())
+    return at
+
+
 def cut(df: DataFrame, merge: int = 0) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is computed once.
 
@@ -68,9 +75,8 @@ def cut(df: DataFrame, merge: int = 0) -> DataFrame:
     spark = df.sparkSession
     if merge:
         df = few_files(df, merge)
-    at = f"{scratch_dir(spark)}/kithspark/{uuid.uuid4().hex}"
+    at = scratch_path(spark)
     df.write.option("compression", "zstd").parquet(at)
-    _written[at] = (spark, threading.get_ident())
     return spark.read.schema(df.schema).parquet(at)
 
 

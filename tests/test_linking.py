@@ -291,6 +291,41 @@ def test_weak_records(spark):
     assert sorted(r["id"] for r in retrieval.weak_records(recs, found).collect()) == ["a", "c"]
 
 
+def test_inference(spark, tmp_path):
+    """Models trained, saved, loaded and applied in several blocks find what belongs together; outputs have a row an entity."""
+    from kithspark.plans import inference
+
+    data = linked(spark, 40)
+    models = inference.train(data, str(tmp_path / "models"), **SMALL)
+    assert models.meta["F2"][:43] == models.meta["F1"] and models.rates.columns == ["side", "t", "fold", "n", "s"]
+    s1, recs = (df.withColumn("addr", F.concat("addr", F.when(F.col("country") == "US", ", tx").otherwise(", goa"))) for df in (data.s1, data.recs))
+    components = spark.createDataFrame([("US", "tx", "US:tx"), ("India", "goa", "India:goa")], "country string, comp string, state string")
+    recs = recs.withColumn("addr", F.when(F.col("id") == "S2-0", "10 main street0").otherwise(F.col("addr")))
+    blocks = inference.plan(s1, recs, components, 10)
+    assert {r["block"] for r in blocks[0].collect()} == {"US_0", "India_0"} and blocks[1].filter("block is null").count() == 1
+    got = inference.infer(models, s1, recs, components, str(tmp_path / "out"), 10, 0.0)
+    assert metrics.macro_f05(data.s1, data.truth, got) > 0.7
+    for name in ("matching_results", "candidate_pairs"):
+        rows = spark.read.csv(str(tmp_path / "out" / f"{name}.tsv"), sep="\t", header=True)
+        assert rows.count() == 40 and rows.columns[0] == "source1_entity_id"
+
+
+def test_dev_loader(spark, tmp_path):
+    from kithspark.operators.views import US_STATES
+    from kithspark.plans import inference
+
+    codes = sorted(US_STATES.values())[:40]
+    raw = "id string, name string, addr string, country string"
+    s1 = spark.createDataFrame([(f"S1-{c}{i}", f"n{i}", f"{i} road, {c}", "US") for c in codes for i in range(3)], raw)
+    for k in (1, 2, 3):
+        s1.withColumn("id", F.regexp_replace("id", "^S1", f"S{k}")).write.parquet(f"{tmp_path}/train_s{k}")
+    s1.select(F.col("id").alias("s1_id"), F.regexp_replace("id", "^S1", "S2").alias("rec_id")).write.parquet(f"{tmp_path}/train_gt")
+    one, two = (inference.load_dev(spark, str(tmp_path), n) for n in ("devtrain", "devval"))
+    assert one.s1.count() > 0 and two.s1.count() > 0 and one.s1.join(two.s1, "id").count() == 0
+    assert one.truth.count() == one.s1.count() and one.recs.filter("src = 2").count() == one.s1.count()
+    assert inference.load_dictionary(spark, str(tmp_path)).count() == 0 and tables.exists(spark, f"{tmp_path}/dictionary_all")
+
+
 def test_one_block_is_no_block(spark):
     data = linked(spark)
     conf = experiments.config("E-04a")
