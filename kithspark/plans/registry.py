@@ -92,9 +92,10 @@ for _p in (r"\b([a-z])\.([a-z])\.", r"\b([a-z])\.([a-z])\b") * 2:
 
 @query(rf"""SELECT id, array_to_string(list_sort(list_distinct({except_(tokens('n'), strings(vw.STOP + vw.LEGAL + vw.LEGAL_FR))})), ' ') AS nkey
 FROM (SELECT id, regexp_replace({_undot}, '\(id:?\s*\d+\)|#\s*\d+', ' ', 'g') AS n FROM (
-  SELECT 'P-' || p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 'C-' || c_custkey, c_name FROM customer))""")
+  SELECT 'P-' || p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 'C-' || c_custkey, c_name FROM customer
+  UNION ALL SELECT 'H-' || page_id, '@' || regexp_extract(url, '^https?://(?:[a-z]+\.)?([a-z]+)\.example(\.[a-z]+)', 1) || '.com' FROM pages))""")
 def name_view_v4(spark, d):
-    return vw.name_view(adapters.names(spark, d).filter("id not like 'H-%'"), "V4").select("id", "nkey")
+    return vw.name_view(adapters.names(spark, d), "V4").select("id", "nkey")
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kithspark.functions.text import bucket, fold, indel_ratio, token_set_ratio
-from kithspark.operators import audits, decide, metrics, splits
+from kithspark.operators import audits, decide, learn, metrics, splits
 from kithspark.operators import pair_features as pf
 from kithspark.operators import retrieval as rt
 from kithspark.operators import views as vw
@@ -261,6 +261,63 @@ def pair_features_exact(spark, d):
     return rows.select("rec_id", "s1_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in [*_PLAIN, *_CONTEXT]])
 
 
+_WEAK = "(SELECT id FROM view WHERE src > 1 AND (len(ad) = 0 OR id NOT IN (SELECT rec_id FROM cand)))"
+
+
+@query(sql(f"""SELECT coalesce(c.rec_id, h.rec_id) AS rec_id, coalesce(c.s1_id, h.s1_id) AS s1_id, round(CAST(sp_score AS DOUBLE), 4) AS sp_score, sp_rank, ex_hits,
+  round(CAST(CAST(h.score AS FLOAT) AS DOUBLE), 4) AS ch_score, CAST(h.rank AS SMALLINT) AS ch_rank
+FROM cand c FULL JOIN (SELECT * FROM ({oracle.sparse('gram', 'gvocab', 300, k=4)}) WHERE rec_id IN {_WEAK}) h ON h.rec_id = c.rec_id AND h.s1_id = c.s1_id""", "cand", "view", "gvocab"))
+def candidates_char(spark, d):
+    """Typed tokens and exact keys, and character grams for records without tokens in their address or without candidates."""
+    s1, recs, _ = registry._views(spark, d)
+    found = rt.candidates({"ret": "sparse+exact+char", "addr": "A2", "topk": 8, "cap": 100}, s1, recs)
+    return found.select("rec_id", "s1_id", _r("sp_score", 4), "sp_rank", "ex_hits", _r("ch_score", 4), "ch_rank")
+
+
+# the second stage ----------------------------------------------------------------------------------------------------
+_scores = f"""SELECT t.rec_id, t.s1_id, {oracle.bucket("t.rec_id || t.s1_id", 3, 1000)} / CAST(1000 AS DOUBLE) AS p, CAST(r.src AS INT) AS src,
+  CASE WHEN trim(r.addr) <> '' THEN {oracle.digits(f"array_to_string(list_sort(list_distinct({tokens(sql_fold('r.addr'))})), ' ')", 15)} END AS sig FROM top t JOIN recs r ON r.id = t.rec_id"""
+
+
+def _over_scores(name: str) -> str:
+    """The select of a registered query over `pred`, on other scores."""
+    whole = registry._SQL[name]
+    return whole[len(sql("", "pred")) :]
+
+
+@query(sql(f"""SELECT a.rec_id, a.s1_id, p1, p_rank, p_r2, p_margin, CASE WHEN a.sig IS NOT NULL THEN sib_n END AS sib_n, CASE WHEN a.sig IS NOT NULL THEN sib_max END AS sib_max,
+  s_hi_same, s_hi_other, s_max_other, s_sum_other, tr_min, tr_max, ts_min, ts_max, tr_n, tp_rate, tp_n
+FROM pred a JOIN ({_over_scores('stage2_ctx2')}) b USING (rec_id, s1_id) JOIN ({_over_scores('stage2_siblings')}) c USING (rec_id, s1_id) JOIN ({_over_scores('stage2_xsrc')}) x USING (rec_id, s1_id)
+LEFT JOIN (SELECT rec_id, s1_id, {oracle.rate_columns('rate', 'seen')} FROM ({oracle.rated('kept', 'krates', True)}) GROUP BY ALL) k USING (rec_id, s1_id)""", "top", "recs", "changed")
+    .replace("\nSELECT a.rec_id", f""",
+pred AS (SELECT * FROM ({_scores}) WHERE p >= 0.01), kept AS (SELECT * FROM changed SEMI JOIN pred USING (rec_id, s1_id)),
+krates AS (SELECT side, t, fold, count(*) AS n, sum(CAST(y AS INT)) AS s FROM kept GROUP BY ALL)
+SELECT a.rec_id""", 1))
+def stage2_table(spark, d):
+    """The second stage's whole table on hashed scores: the floor, all context, rates out of fold."""
+    s1, recs, truth, top = registry._top(spark, d)
+    pred = top.select("rec_id", "s1_id", (bucket(F.concat("rec_id", "s1_id"), 3, 1000) / F.lit(1000.0)).alias("p"))
+    of = runs.Pairs(pf.with_labels(top.select("rec_id", "s1_id"), truth), s1, recs)
+    out, _ = runs.stage_two_table({"stage2": ["CTX2", "SIB", "XSRC", "TOKR", "TOKP"]}, of, pred)
+    rates = [_r(c) for c in ("tr_min", "tr_max", "ts_min", "ts_max")]
+    return out.select("rec_id", "s1_id", "p1", "p_rank", "p_r2", _r("p_margin"), *_big("sib_n"), "sib_max", *_big("s_hi_same", "s_hi_other"), "s_max_other", _r("s_sum_other"), *rates, "tr_n", _r("tp_rate"), "tp_n")
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS differ FROM lineitem")
+def model_roundtrip(spark, d):
+    """A model and its metadata, saved and loaded, score every row as before."""
+    at = scratch_path(spark)
+    rows = adapters.scored_pairs(spark, d).withColumn("y", F.col("y").cast("int"))
+    feats = ["p", "src", "sig"]
+    model = learn.fit(rows, feats, rounds=2, depth=2, least=20)
+    learn.save(model, f"{at}/model")
+    tables.write_meta(spark, f"{at}/meta", {"feats": feats})
+    vectors = learn.assembled(rows, feats)
+    both = learn.load(f"{at}/model").transform(model.transform(vectors).withColumnsRenamed({c: f"{c}_1" for c in ("features", "rawPrediction", "probability", "prediction")}))
+    assert tables.read_meta(spark, f"{at}/meta") == {"feats": feats}
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("probability") != F.col("probability_1")).alias("differ"))
+
+
 # tuning --------------------------------------------------------------------------------------------------------------
 @query(f"SELECT tau, f FROM ({registry._SQL['tau_curve']}) ORDER BY f DESC, tau LIMIT 1")
 def best_tau(spark, d):
@@ -371,3 +428,10 @@ def loss_report(spark, d):
     s1, _, truth, _, got = registry._assigned(spark, d)
     out = metrics.loss_report(metrics.per_entity(s1, truth, got))
     return out.select("country", "n_s1", _r("loss"), _r("loss_singleton"), "s1_perfect", "s1_zero", "singletons_with_pred")
+
+
+@query(sql("SELECT 'B' || country AS block, count(*) AS n, round(avg(f), 6) AS f FROM entity GROUP BY country", "entity"))
+def f05_by_block(spark, d):
+    s1, _, truth, _, got = registry._assigned(spark, d)
+    blocks = s1.select("id", F.concat(F.lit("B"), "country").alias("block"))
+    return metrics.f05_by_block(metrics.per_entity(s1, truth, got), blocks).select("block", "n", _r("f"))
