@@ -270,13 +270,14 @@ def test_test_labels_are_not_seen(spark):
         runs.stage_two_table(conf, of, pred, None, False)
 
 
-def test_parameters_go_to_the_second_stage(spark, monkeypatch):
+def test_parameters_go_to_the_second_stage(spark, monkeypatch, tmp_path):
     seen = []
     fit = learn.fit
     monkeypatch.setattr(learn, "fit", lambda rows, feats, **p: (seen.append((len(feats), p.get("depth"))), fit(rows, feats, **(p | SMALL)))[1])
     data = linked(spark, 30)
-    runs.run("E-11x", data, data)
+    runs.run("E-11x", data, data, cache=str(tmp_path))
     assert seen == [(43, None)] * 3 + [(58, 8)] * 3
+    assert len(list((tmp_path / "pairs").iterdir())) == 2  # E-07s and what shares its pairs, of both subsets
 
 
 def test_across_countries(spark):
