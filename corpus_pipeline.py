@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; stages are written as Parquet
 and read back. All but the last return the columns of documents.
+
+In every stage a null text counts as empty, rows that share an id and a text have the same fate, further columns of any
+name ride along untouched (but for pack_sequences, which doesn't read them), and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated runs; those of which nothing is left go."""
+    """Documents without later copies of repeated runs; those of which nothing is left go. n_chars follows the text. The first
+    place by id, then text, keeps its lines; a null id comes first. Documents without repeated runs, empty ones too, stay as
+    they are."""
     mark = "n_removed"
     while mark in docs.columns:
         mark += "_"
@@ -37,17 +42,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, that with the smallest id."""
+    """One document of each group of linked ones, that with the smallest id; all rows of that id stay. Texts without words are
+    linked with nothing and stay. A null id ranks behind all others."""
     return jaccard_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item, each row judged for itself."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their places in sequences of 4096 tokens."""
+    """The documents' pieces with their places in sequences of 4096 tokens; each row is packed for itself, an empty text as one
+    end token."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
