@@ -41,10 +41,12 @@ ANCHORS = ("license", "licensed", "copyright", "permission", "warranty", "redist
 
 
 def words(text: str) -> list[str]:
+    """Runs of a-z and 0-9 of the lower-cased text, repeats kept; none of an empty text."""
     return re.findall("[a-z0-9]+", text.lower())
 
 
 def shingles(tokens: list[str]) -> list[str]:
+    """Distinct runs of SHINGLE words, in order; of fewer words, all of them as one; of none, none."""
     size = min(SHINGLE, len(tokens))
     return list(dict.fromkeys(" ".join(tokens[i : i + size]) for i in range(len(tokens) - size + 1))) if tokens else []
 
