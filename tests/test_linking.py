@@ -245,6 +245,18 @@ def test_runs(spark):
 SMALL = dict(rounds=1, depth=2, least=1)
 
 
+@pytest.fixture
+def interpreted(spark):
+    """Whole runs over a few rows take their time from compiling plans; here these are interpreted."""
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")}
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.usefixtures("interpreted")
 def test_second_stage(spark):
     data = linked(spark)
     out = runs.run("E-11w", data, data, **SMALL)
@@ -254,6 +266,7 @@ def test_second_stage(spark):
     assert {r["side"] for r in whole.select("side").distinct().collect()} <= {"r", "s", "ar", "as", "p", "c1", "c2"}
 
 
+@pytest.mark.usefixtures("interpreted")
 def test_test_labels_are_not_seen(spark):
     """Other labels of the test pairs, the same features; those of the training pairs do matter."""
     data = linked(spark)
@@ -270,6 +283,7 @@ def test_test_labels_are_not_seen(spark):
         runs.stage_two_table(conf, of, pred, None, False)
 
 
+@pytest.mark.usefixtures("interpreted")
 def test_parameters_go_to_the_second_stage(spark, monkeypatch, tmp_path):
     seen = []
     fit = learn.fit
@@ -280,6 +294,7 @@ def test_parameters_go_to_the_second_stage(spark, monkeypatch, tmp_path):
     assert len(list((tmp_path / "pairs").iterdir())) == 2  # E-07s and what shares its pairs, of both subsets
 
 
+@pytest.mark.usefixtures("interpreted")
 def test_across_countries(spark):
     data = linked(spark)
     got = runs.run("E-14", data, data, **SMALL)["by_country"]
@@ -292,6 +307,7 @@ def test_weak_records(spark):
     assert sorted(r["id"] for r in retrieval.weak_records(recs, found).collect()) == ["a", "c"]
 
 
+@pytest.mark.usefixtures("interpreted")
 def test_inference(spark, tmp_path):
     """Models trained, saved, loaded and applied in several blocks find what belongs together; outputs have a row an entity."""
     from kithspark.plans import inference
