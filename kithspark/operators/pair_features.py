@@ -73,18 +73,23 @@ def cross_number_features() -> dict[str, Column]:
     }
 
 
-def collisions(s1: DataFrame) -> DataFrame:
-    """(s1_id, n_collide): entities of the country with the same name key, itself included; counted, then joined."""
+def with_collisions(s1: DataFrame) -> DataFrame:
+    """s1 with n_collide: entities of the country with the same name key, itself included; counted, then joined."""
     counts = s1.groupBy("country", "nkey").agg(F.count("*").alias("n_collide"))
-    return s1.select(F.col("id").alias("s1_id"), "country", "nkey").join(counts, ["country", "nkey"]).select("s1_id", "n_collide")
+    return s1.join(counts, ["country", "nkey"])
 
 
-def out_of_vocabulary(rows: DataFrame, key: list[str], tokens: Column, vocab: DataFrame, name: str) -> DataFrame:
-    """key and the share of a row's tokens that aren't words of vocab (word); null where it has none. Where vocab has a
-    country, the words of a row's own country count."""
+def unknown_words(recs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(rec_id, unknown): the name tokens (nt) of a record that aren't words of vocab (word), of records with any. Where vocab
+    has a country, the words of a record's own country count. Records are looked up once, whatever pairs they are in."""
     on = ["word", "country"] if "country" in vocab.columns else ["word"]
-    exploded = rows.select(*key, *on[1:], F.explode(tokens).alias("word")).join(vocab.select(*on, F.lit(1).alias("__in")), on, "left")
-    return exploded.groupBy(*key).agg(F.avg(F.when(F.col("__in").isNull(), 1.0).otherwise(0.0)).alias(name))
+    words = recs.select(F.col("id").alias("rec_id"), *on[1:], F.explode("nt").alias("word"))
+    return words.join(vocab.select(*on), on, "left_anti").groupBy("rec_id").agg(F.collect_set("word").alias("unknown"))
+
+
+def share_of(tokens: Column, among: Column) -> Column:
+    """The share of an array's distinct tokens that are among others; null of an empty array."""
+    return F.try_divide(F.size(F.array_intersect(tokens, among)).cast("double"), F.size(tokens).cast("double"))
 
 
 def context(pairs: DataFrame) -> DataFrame:
@@ -98,9 +103,10 @@ def context(pairs: DataFrame) -> DataFrame:
 
 
 def with_sides(candidates: DataFrame, s1: DataFrame, recs: DataFrame) -> DataFrame:
-    """candidates with the arrays of both sides: nt, at, st, nums, lt, nkey with _s and _r, src and country."""
+    """candidates with the arrays of both sides: nt, at, st, nums, lt, nkey with _s and _r, src, country, and
+    n_collide if s1 has it."""
     cols = ["nt", "at", "st", "nums", "lt", "nkey"]
-    left = s1.select(F.col("id").alias("s1_id"), "country", *[F.col(c).alias(f"{c}_s") for c in cols])
+    left = s1.select(F.col("id").alias("s1_id"), "country", *[c for c in ("n_collide",) if c in s1.columns], *[F.col(c).alias(f"{c}_s") for c in cols])
     right = recs.select(F.col("id").alias("rec_id"), "src", *[F.col(c).alias(f"{c}_r") for c in cols])
     return candidates.join(right, "rec_id").join(left, "s1_id")
 
@@ -110,21 +116,21 @@ def pair_features(candidates: DataFrame, s1: DataFrame, recs: DataFrame, version
 
     The fuzzy ratios are the only Python: they run in Arrow batches, on a batch's distinct pairs of unequal strings.
     """
-    p = with_sides(candidates, s1, recs).join(collisions(s1), "s1_id")
+    p = with_sides(candidates, with_collisions(s1), recs)
     p = p.withColumns({
         "nj": jaccard("nt_r", "nt_s"), "aj": jaccard("at_r", "at_s"), "sj": jaccard("st_r", "st_s"), "n_inter": shared("nt_r", "nt_s"),
         "nlen_r": F.size("nt_r"), "nlen_s": F.size("nt_s"), "alen_r": F.size("at_r"), "alen_s": F.size("at_s"), "aempty": F.size("at_r") == 0,
         **number_features(),
     })
+    own_r, own_s = F.array_except("nt_r", "nt_s"), F.array_except("nt_s", "nt_r")
     if version >= 2:
         p = p.withColumns(legal_relation("lt_r", "lt_s"))
-        if vocab is not None:
-            p = p.join(out_of_vocabulary(recs, ["id"], F.col("nt"), vocab, "oov").withColumnRenamed("id", "rec_id"), "rec_id", "left")
-    own_r, own_s = F.array_except("nt_r", "nt_s"), F.array_except("nt_s", "nt_r")
     if version >= 4:
         p = p.withColumns({**cross_number_features(), "n_uns_r": F.size(own_r), "n_uns_s": F.size(own_s)})
-        if vocab is not None:
-            p = p.join(out_of_vocabulary(p, ["rec_id", "s1_id"], own_r, vocab, "uns_oov"), ["rec_id", "s1_id"], "left")
+    if version >= 2 and vocab is not None:
+        unknown = F.coalesce("unknown", F.array().cast("array<string>"))
+        p = p.join(unknown_words(recs, vocab), "rec_id", "left").withColumn("oov", share_of(F.col("nt_r"), unknown))
+        p = p.withColumn("uns_oov", share_of(own_r, unknown)) if version >= 4 else p
     if fuzzy:
         p = p.withColumns({
             "n_tsr": token_set_ratio("nkey_r", "nkey_s"), "n_ratio": indel_ratio("nkey_r", "nkey_s"),

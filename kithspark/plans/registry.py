@@ -263,16 +263,16 @@ def pair_legal(spark, d):
 FROM pair p LEFT JOIN (SELECT rec_id, s1_id, avg(CASE WHEN w IN (SELECT DISTINCT unnest({tokens(sql_fold('name'))}) FROM s1) THEN 0.0 ELSE 1.0 END) AS o
   FROM (SELECT rec_id, s1_id, unnest({except_('nt_r', 'nt_s')}) AS w FROM pair) GROUP BY ALL) USING (rec_id, s1_id)""", "pair", "s1"))
 def pair_unshared_oov(spark, d):
-    p, s1, _ = _pairs(spark, d)
-    own = F.array_except("nt_r", "nt_s")
-    oov = pf.out_of_vocabulary(p, ["rec_id", "s1_id"], own, vw.vocabulary(s1), "uns_oov")
-    p = p.withColumns({"n_uns_s": F.size(F.array_except("nt_s", "nt_r")), "n_uns_r": F.size(own)}).join(oov, ["rec_id", "s1_id"], "left")
+    p, s1, recs = _pairs(spark, d)
+    own, unknown = F.array_except("nt_r", "nt_s"), F.coalesce("unknown", F.array().cast("array<string>"))
+    p = p.join(pf.unknown_words(recs, vw.vocabulary(s1)), "rec_id", "left")
+    p = p.withColumns({"n_uns_s": F.size(F.array_except("nt_s", "nt_r")), "n_uns_r": F.size(own), "uns_oov": pf.share_of(own, unknown)})
     return p.select("rec_id", "s1_id", *_big("n_uns_s", "n_uns_r"), _r("uns_oov"))
 
 
 @query(sql("SELECT id AS s1_id, count(*) OVER (PARTITION BY country, nkey) AS n_collide FROM view WHERE src = 1", "view"))
 def name_collisions(spark, d):
-    return pf.collisions(_views(spark, d)[0])
+    return pf.with_collisions(_views(spark, d)[0]).select(F.col("id").alias("s1_id"), "n_collide")
 
 
 @query(sql(f"""SELECT rec_id, s1_id, count(*) OVER r AS ncand_r, count(*) OVER s AS ncand_s, round(hits / CAST(max(hits) OVER r AS DOUBLE), 6) AS sp_rel,
