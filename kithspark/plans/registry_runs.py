@@ -253,7 +253,7 @@ _CONTEXT = {
 }
 
 
-@query(sql(f"SELECT rec_id, s1_id, {', '.join(f'round(CAST({c} AS DOUBLE), 4) AS {c}' for c in _PLAIN)}, {', '.join(f'round(CAST({v} AS DOUBLE), 4) AS {k}' for k, v in _CONTEXT.items())} FROM ({_whole}) WINDOW r AS (PARTITION BY rec_id), s AS (PARTITION BY s1_id)", "cand", "view", "s1", "truth"))
+@query(sql(f"SELECT rec_id, s1_id, {', '.join(f'round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 4) AS {c}' for c in _PLAIN)}, {', '.join(f'round(CAST(CAST({v} AS FLOAT) AS DOUBLE), 4) AS {k}' for k, v in _CONTEXT.items())} FROM ({_whole}) WINDOW r AS (PARTITION BY rec_id), s AS (PARTITION BY s1_id)", "cand", "view", "s1", "truth"))
 def pair_features_exact(spark, d):
     """Every feature of the last version but those of number crosses, which have a query of their own, and the fuzzy ones."""
     s1, recs, truth, _ = registry._top(spark, d)
