@@ -247,10 +247,11 @@ SMALL = dict(rounds=1, depth=2, least=1)
 
 @pytest.fixture
 def interpreted(spark):
-    """Whole runs over a few rows take their time from compiling plans; here these are interpreted."""
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")}
-    spark.conf.set("spark.sql.codegen.wholeStage", "false")
-    spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    """Whole runs over a few rows take their time from compiling and re-planning; here plans are interpreted as they are."""
+    own = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     yield
     for k, v in before.items():
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
