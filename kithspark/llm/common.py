@@ -61,6 +61,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_held: dict | None = None
+
+
+def hold(cache: dict) -> dict:
+    """The cache of the operator that this worker runs now; what an earlier operator kept is given up."""
+    global _held
+    if _held is not None and _held is not cache:
+        _held.clear()
+    _held = cache
+    return cache
+
+
 class WordHashes(dict):
     """Word bytes to 64-bit hash; computed once per distinct word, bounded."""
 

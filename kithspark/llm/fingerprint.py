@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kithspark.llm.common import WordHashes, shingle_hashes, small_batches
+from kithspark.llm.common import WordHashes, hold, shingle_hashes, small_batches
 from kithspark.llm.decontaminate import words_of
 
 #: Hashes that a sketch keeps at least, if the text has them.
@@ -102,6 +102,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_words)
         for b in batches:
             prints = [str(Sketch.of((t or "").encode(), fraction, k)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.string())], ["id", "fingerprint"])
@@ -195,6 +196,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def handle(rows: list[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         last, c = None, None
+        hold(_words)
         for id_, text, following in rows:
             text, following = text or "", following or ""
             q = len(text) // 4

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithspark.llm.common import MIX_A, MIX_B, MIX_C, WordHashes, as_bytes, cut, few_files, join_counted, mix, shingle_hashes, small_batches
+from kithspark.llm.common import MIX_A, MIX_B, MIX_C, WordHashes, as_bytes, cut, few_files, hold, join_counted, mix, shingle_hashes, small_batches
 from kithspark.llm.components import connected_components
 
 BLOCK = 512
@@ -95,6 +95,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles = Tiles(percent)
+        hold(_words)
         for b in batches:
             at, rows = [], []
             for i, text in enumerate(as_bytes(b.column(1))):
@@ -248,6 +249,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = F.broadcast(reps) if needed.count() <= BROADCAST_IDS else reps
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_words)
         for b in batches:
             sets = [shingle_set(t, k) for t in as_bytes(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["s", "hashes"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kithspark.llm.common import CACHE_ENTRIES, cut, few_files, small_batches
+from kithspark.llm.common import CACHE_ENTRIES, cut, few_files, hold, small_batches
 
 #: Characters whose class, case and normal form need no tables: printable ASCII and Latin letters.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ɏ]*")
@@ -116,10 +116,13 @@ class ChunkIds(dict):
         self[chunk] = out = b"".join(parts)
         return out
 
+    def clear(self) -> None:
+        super().clear()
+        self.words.clear()
+
     def trim(self) -> None:
-        for kept in (self, self.words):
-            if len(kept) > CACHE_ENTRIES:
-                kept.clear()
+        if max(len(self), len(self.words)) > CACHE_ENTRIES:
+            self.clear()
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -136,6 +139,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, cap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
+        hold(encoder.chunks)
         for b in batches:
             own = b.column(0).to_pylist()
             rows: list[list] = [[] for _ in names]

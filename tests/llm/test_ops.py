@@ -155,6 +155,14 @@ def test_fingerprint_ids_of_any_type(spark):
         assert r["edited_sha256"] == hashlib.sha256((texts[0][:-3] + first[:3]).encode()).hexdigest()
 
 
+def test_a_worker_holds_one_operators_cache():
+    from kithspark.llm.common import WordHashes, hold
+
+    a, b = WordHashes(), WordHashes()
+    hold(a).of([b"x", b"y"])
+    assert len(hold(a)) == 2 and hold(b) is b and not a
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 PARAS = ["The first paragraph is about a thing of some length, so that its density is high.", "The second one says more & more about the same thing, with a link inside.", "Short."]
 PAGES = {
