@@ -357,6 +357,17 @@ def test_one_block_is_no_block(spark):
     assert {r[:] for r in blocks.select("rec_id", "s1_id").collect()} == {r[:] for r in whole.select("rec_id", "s1_id").collect()}
 
 
+def test_ties_in_blocks_go_by_id_and_block(spark):
+    """As text "S1-33@US_0" is before "S1-3@US_0"."""
+    raw = "id string, name string, addr string, country string"
+    data = runs.Data(spark.createDataFrame([(f"S1-{i}", "Blue Door", "7 Elm Road", "US") for i in ("3", "33")], raw), spark.createDataFrame([("S2-1", "Blue Door", "7 Elm Road", "US", 2)], raw + ", src tinyint"), pairs(spark, ("S1-3", "S2-1")))
+    conf = experiments.config("E-04a") | {"topk": 1}
+    s1, recs, _ = runs.views(conf, data)
+    state = lambda df: df.withColumn("state", F.col("country"))
+    got = runs.score_blocks(s1, recs, *splits.plan_blocks(state(s1), state(recs), 1000), conf).collect()
+    assert [r[:3] for r in got] == [("US_0", "S2-1", "S1-33")]
+
+
 def test_stream(tmp_path, spark):
     from kithspark.streaming.linking import entity_index, link_stream
 
