@@ -54,8 +54,12 @@ def _with_windows(docs: DataFrame, id_col: str, text_col: str, min_run: int) ->
     for n in range(1, FAST_LINES + 1):
         cases.append(f"when {total} >= {min_run} then {n}")
         total += f" + get(lengths, i + {n - 1})"
-    # every line has a character at least, so min_run lines are enough
-    longer = f"aggregate(slice(lengths, i, {min_run}), (0 as n, 0L as c), (a, x) -> if(a.c >= {min_run}, a, (a.n + 1 as n, a.c + x as c)), a -> if(a.c >= {min_run}, a.n, null))"
+    # every line has a character at least, so min_run lines are enough; most windows have far fewer, so these are tried first.
+    # The state is one number: lines above, characters, which stay under twice min_run, below
+    bits = (2 * min_run).bit_length()
+    count = f"(a & {(1 << bits) - 1}L) >= {min_run}"
+    step = f"0L, (a, x) -> if({count}, a, a + {1 << bits}L + least(x, {min_run})), a -> if({count}, cast(shiftright(a, {bits}) as int), null)"
+    longer = f"coalesce(aggregate(slice(lengths, i, {4 * FAST_LINES}), {step}), aggregate(slice(lengths, i, {min_run}), {step}))"
     rows = rows.withColumn("sizes", F.expr(f"transform(sequence(1, size(lengths)), i -> case {' '.join(cases)} else {longer} end)"))
     # what lines are ordered by: long ones first (the sign), then 39 bits of the hash, then the place among the lines
     order = f"transform(hashes, (h, i) -> (h & {(1 << 63) - (1 << 24)}L) | (i & {(1 << 24) - 1}) | if(get(lengths, i) >= {LONG_LINE}, -9223372036854775807L - 1L, 0L))"
