@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from kithspark.llm.common import cut
 
 
+def _both_ways(edges: DataFrame, u: str, v: str) -> DataFrame:
+    """Each edge as (u, v) and (v, u), in one reading: a union would double the plan at every use."""
+    ends = [F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ((u, v), (v, u))]
+    return edges.select(F.explode(F.array(*ends)).alias("e")).select("e.*")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge, root the least node of its component. Ids are bigints, not null.
 
@@ -16,16 +22,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     path. Loops (a = b) make a component of their own; repeated edges count once. The edges are read several times, so
     give a written table.
     """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     seen = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _both_ways(now, "u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v >= u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(low, "u")
-        small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small.filter("u >= v"), merge=32)
+        star = large.join(low, "u").select(F.explode(F.array(*[F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in "vu"])).alias("e"))
+        now = cut(star.select("e.*").filter("u >= v").distinct(), merge=32)
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen:
             break

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from kithspark.llm import chat_format, decontaminate, fingerprint, html_extract, jaccard_join, language_id, license_scan, line_dedup, packing, token_counts  # noqa: E402
+from kithspark import scratch  # noqa: E402
+from kithspark.llm import chat_format, components, decontaminate, fingerprint, html_extract, jaccard_join, language_id, license_scan, line_dedup, packing, token_counts  # noqa: E402
 from kithspark.llm.components import connected_components  # noqa: E402
 
 DOCS = "doc_id bigint, text string"
@@ -685,3 +686,25 @@ def test_components(spark):
     assert {got[i] for i in (1, 2, 3)} == {1} and got[5] == 4 and got[9] == 9
     assert {got[i] for i in range(100, 141)} == {100} and {got[i] for i in [200, *range(300, 330)]} == {200}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_components_plan(spark, monkeypatch):
+    """A step reads its edges four times, not sixteen: the driver plans each anew whenever a shuffle ends. The same roots as by
+    a search, with repeated edges, both directions and loops."""
+    leaves = []
+
+    def cut(df, merge=0):
+        leaves.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return scratch.cut(df, merge)
+
+    monkeypatch.setattr(components, "cut", cut)
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]
+    edges += [(b, a) for a, b in edges[:50]] + edges[:20] + [(i, i) for i in range(390, 410)] + [(7, 500 + i) for i in range(60)]
+    got = connected_components(scratch.cut(spark.createDataFrame(edges, "a bigint, b bigint"))).collect()
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert sorted(map(tuple, got)) == sorted(root.items())
+    assert len(leaves) > 1 and max(leaves) <= 4
